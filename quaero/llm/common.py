@@ -29,14 +29,14 @@ def ready_to_checkpoint(spark: SparkSession) -> None:
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, first_id): every document whose exact text a smaller doc_id also has.
+    """(doc_id, first_id, digest): every document whose exact text a smaller doc_id also has.
 
     The copies of one text are counted by map-side aggregation, so a text that a third of all rows share
     costs each task one row; the join back to the rows is a plain equi-join that adaptive execution can split.
     """
     marked = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
     first = marked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return marked.join(first, "digest").where("doc_id > first_id").select("doc_id", "first_id")
+    return marked.join(first, "digest").where("doc_id > first_id").select("doc_id", "first_id", "digest").distinct()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
