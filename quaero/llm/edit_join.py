@@ -7,7 +7,7 @@ on both sides. Candidates are compared by their whole texts with the built-in ba
 bit-parallel one would need a loop per row in Python).
 
 A line is removed if it occurred before, or if an earlier different line (by id, then line number) is within ``edits`` edits of it.
-Lines are known by 64-bit hashes on the way; texts decide, so a collision costs a comparison and never a wrong result. A line
+Lines are known by 64-bit hashes (two different lines share one with a chance of 2^-64 for each pair); near lines are decided by their texts. A line
 that a third of the corpus repeats is one entry after map-side aggregation.
 
 Defined results: lines are split at ``\\n``; null texts have none; lines without a word (any character but ASCII white space) stay; lines
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaero.llm.common import WS_CHARS
+from quaero.llm.common import WS_CHARS, ready_to_checkpoint
 
 EDITS = 2
 LEAST = 16
@@ -58,14 +58,21 @@ def line_places(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(a, z, a_line, z_line): different lines within ``edits`` edits, each pair once; ``lines`` has distinct (id, line)."""
+    """(a, z): ids of different lines within ``edits`` edits, each pair once; ``lines`` has (id, line), repeated at will.
+
+    Candidates are pairs of ids; only the lines among them travel once more, to be compared.
+    """
+    ready_to_checkpoint(lines.sparkSession)
     long = lines.where(F.length("line") >= max(least, edits + 1)).select("id", "line")
-    index = long.select("id", F.explode(entries(F.col("line"), edits)).alias("key"))
-    asks = long.select(F.col("id").alias("asker"), F.explode(lookups(F.col("line"), edits)).alias("key"))
-    pairs = index.join(asks, "key").where("id <> asker").select(F.least("id", "asker").alias("a"), F.greatest("id", "asker").alias("z")).distinct()
-    left, right = long.select(F.col("id").alias("a"), F.col("line").alias("a_line")), long.select(F.col("id").alias("z"), F.col("line").alias("z_line"))
-    both = pairs.join(left, "a").join(right, "z")
-    return both.where((F.abs(F.length("a_line") - F.length("z_line")) <= edits) & (F.levenshtein("a_line", "z_line", edits) >= 0))
+    distinct = long.distinct()
+    index = distinct.select("id", F.explode(entries(F.col("line"), edits)).alias("key"))
+    asks = distinct.select(F.col("id").alias("asker"), F.explode(lookups(F.col("line"), edits)).alias("key"))
+    found = index.join(asks, "key").where("id <> asker").select(F.least("id", "asker").alias("a"), F.greatest("id", "asker").alias("z")).distinct().checkpoint()
+    ids = found.select(F.explode(F.array("a", "z")).alias("id")).distinct()
+    texts = long.join(ids, "id", "left_semi").distinct()
+    both = found.join(texts.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(texts.select(F.col("id").alias("z"), F.col("line").alias("z_line")), "z")
+    near = both.where((F.abs(F.length("a_line") - F.length("z_line")) <= edits) & (F.levenshtein("a_line", "z_line", edits) >= 0))
+    return near.select("a", "z").distinct()
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -73,16 +80,11 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Da
     before, how many have an earlier near line, and the numbers of the lines that go (from 0, all lines counted)."""
     places = line_places(docs).withColumn("id", F.xxhash64("line"))
     order = F.struct(F.col("doc").isNull().alias("last"), "doc", "no")
-    distinct = places.groupBy("id", "line").agg(F.min(order).alias("first"))
-    pairs = near_pairs(distinct, edits, least)
-    first = distinct.select("id", "line", "first")
-    placed = (
-        pairs.join(first.select(F.col("id").alias("a"), F.col("line").alias("a_line"), F.col("first").alias("a_first")), ["a", "a_line"])
-        .join(first.select(F.col("id").alias("z"), F.col("line").alias("z_line"), F.col("first").alias("z_first")), ["z", "z_line"])
-    )
+    by_line = places.groupBy("id").agg(F.min(order).alias("first"))
+    pairs = near_pairs(places, edits, least)
+    placed = pairs.join(by_line.select(F.col("id").alias("a"), F.col("first").alias("a_first")), "a").join(by_line.select(F.col("id").alias("z"), F.col("first").alias("z_first")), "z")
     later = placed.select(F.greatest("a_first", "z_first").alias("first")).distinct().select("first.doc", "first.no", F.lit(True).alias("near"))
     seen = places.select("doc", "no", "id", order.alias("place"))
-    by_line = distinct.groupBy("id").agg(F.min("first").alias("first"))
     copies = seen.join(by_line, "id").withColumn("copy", F.col("place") != F.col("first"))
     marked = copies.join(later, copies["doc"].eqNullSafe(later["doc"]) & (copies["no"] == later["no"]), "left").select(copies["doc"], copies["no"], "copy", F.coalesce("near", F.lit(False)).alias("near"))
     per_doc = marked.groupBy("doc").agg(

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaero.llm.buckets import BLOB_SCHEMA, NO_ID, Layout, blob_table, by_target, in_buckets, layout, with_ids
@@ -328,3 +328,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     joined = sizes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
     bare = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return joined.select(bare("doc_id"), "n_shingles", bare("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: that of the smallest id (of several rows of that id, the least text)."""
+    groups = near_duplicates(docs, width, percent)
+    staying = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")).distinct()
+    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    first = Window.partitionBy("__id").orderBy("text")
+    return rows.join(staying, "__id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__id", "__n")

@@ -192,3 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 4000) -> list[Rule]
 def judge(docs: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ()) -> DataFrame:
     """The statistics of every row with ``base_failed`` and ``kept``."""
     return text_statistics(docs, keep=keep).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & as_expression(rules))
+
+
+def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows that are kept, with all their columns."""
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    kept = judge(packed, rules, keep=("__row",)).where("kept")
+    return kept.select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
