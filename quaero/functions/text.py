@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -145,24 +147,39 @@ def split_conjunctions(x: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once; a lambda would compute an expression that it refers to anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens, joined by a space."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    def runs(t: Column) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+
+    return let(tokens, runs)
 
 
 def suffixes(tokens: Column, at_least: int = 1) -> Column:
     """Proper suffixes with ``at_least`` tokens, the longest first."""
-    n = F.size(tokens)
-    starts = F.when(n > at_least, F.sequence(F.lit(2), n - at_least + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    def runs(t: Column) -> Column:
+        starts = F.when(F.size(t) > at_least, F.sequence(F.lit(2), F.size(t) - at_least + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.size(t)), " "))
+
+    return let(tokens, runs)
 
 
 def prefixes(tokens: Column, at_least: int = 1) -> Column:
     """Proper prefixes with ``at_least`` tokens, the longest first."""
-    n = F.size(tokens)
-    sizes = F.when(n > at_least, F.sequence(n - 1, F.lit(at_least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(sizes, lambda k: F.array_join(F.slice(tokens, 1, k), " "))
+
+    def runs(t: Column) -> Column:
+        sizes = F.when(F.size(t) > at_least, F.sequence(F.size(t) - 1, F.lit(at_least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(sizes, lambda k: F.array_join(F.slice(t, 1, k), " "))
+
+    return let(tokens, runs)
 
 
 def sub_phrases(tokens: Column) -> Column:

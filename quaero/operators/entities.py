@@ -35,8 +35,8 @@ def dictionary(*tables: tuple[DataFrame, str, str, str | None]) -> DataFrame:
     """(term, entity_type), lower-cased and distinct, from (table, column, type, separator of several names or None)."""
     found = None
     for table, column, entity_type, separator in tables:
-        names = F.explode(F.split(column, rf"\s*{separator}\s*")) if separator else F.col(column)
-        one = table.select(F.lower(F.trim(names) if not separator else names).alias("term"), F.lit(entity_type).alias("entity_type"))
+        names = F.explode(F.split(F.lower(column), rf"\s*{separator}\s*")) if separator else F.lower(column)
+        one = table.select(names.alias("term"), F.lit(entity_type).alias("entity_type"))
         found = one if found is None else found.unionByName(one)
     return found.where(F.length(F.trim("term")) > 0).select(F.trim("term").alias("term"), "entity_type").distinct()
 
@@ -107,6 +107,22 @@ def tagged(sentences: DataFrame, known: DataFrame, column: str = "sentence", mos
     return sentences.withColumn("entities", run(F.col(column)))
 
 
+#: Words that type a phrase by standing at its end or, for ``protein``, at its start.
+LAST_WORDS = {"disease": "disease", "disorder": "disease", "syndrome": "disease", "protein": "protein", "gene": "gene"}
+
+
+def query_types(term: str, known: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
+    """The types of a query term: those of the dictionary, else by its last or first word."""
+    low = term.lower()
+    if low in UNTYPED or low in GENERIC_NOUNS:
+        return ()
+    words = low.split()
+    by_rule = LAST_WORDS.get(words[-1]) if len(words) > 1 else None
+    if by_rule is None and len(words) > 1 and words[0] == "protein":
+        by_rule = "protein"
+    return known.get(low) or ((by_rule,) if by_rule else ())
+
+
 def spans(sentences: DataFrame, key: list[str], column: str, most: int = 4) -> DataFrame:
     """(key, start, size, phrase): all word runs of a sentence up to ``most`` words."""
     words = sentences.select(*key, T.ws_tokens(F.regexp_replace(F.lower(column), r"[^\p{L}\p{Nd}\s-]", " ")).alias("w"))

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaero.functions import text as T
+from quaero.functions import vectors as V
 from quaero.operators import answers as A
 from quaero.operators import entities as E
 from quaero.operators import questions as Q
@@ -21,13 +23,15 @@ from quaero.sources.writers import AnswerCache
 
 @dataclass
 class Engine:
-    """Tables of one collection: documents (doc_id, text), vocabulary (term, weight), vectors (term, embedding), dictionary (term, entity_type)."""
+    """Tables of one collection: documents (doc_id, text), vocabulary (term, weight), vectors (term, embedding), dictionary (term, entity_type), and for
+    retrieval by nearness the documents' centroids (doc_id, embedding)."""
 
     docs: DataFrame
     vocabulary: DataFrame
     vectors: DataFrame
     dictionary: DataFrame
     scorer: S.PairScorer | None = None
+    centroids: DataFrame | None = None
     cache: AnswerCache = field(default_factory=AnswerCache)
 
     def weights(self, words: Iterable[str]) -> dict[str, float]:
@@ -55,16 +59,30 @@ class Engine:
         found: dict[str, list[str]] = {}
         for r in rows:
             found.setdefault(r.term, []).append(r.entity_type)
-        return {k: tuple(sorted(v, key=E.TYPE_ORDER.index)) for k, v in found.items()}
+        known = {k: tuple(sorted(v, key=E.TYPE_ORDER.index)) for k, v in found.items()}
+        return {t: types for t in wanted if (types := E.query_types(t, known))}
 
     def retrieve(self, question: str, mode: str = "baseline") -> DataFrame:
-        """(doc_id, rank) of up to 2000 documents. ``ensemble`` unites baseline, rank and keyword; ``ensemble2`` the last two."""
-        if mode.startswith("ensemble"):
-            modes = ("rank", "keyword") if mode == "ensemble2" else ("baseline", "rank", "keyword")
+        """(doc_id, rank) of up to 2000 documents. ``ensemble`` unites baseline, rank and keyword; ``ensemble2`` the last two, ``hybrid`` keyword and baseline; ``aknn`` takes the nearest centroids."""
+        if mode == "aknn":
+            return self._nearest(question)
+        if mode.startswith(("ensemble", "hybrid")):
+            modes = {"ensemble2": ("rank", "keyword"), "hybrid": ("keyword", "baseline")}.get(mode, ("baseline", "rank", "keyword"))
             return search.ordered_union([self.retrieve(question, m) for m in modes])
         strategy = "baseline" if mode.startswith("baseline") else mode
         return search.ranked(search.retrieve(self.docs, self.query(question, mode), strategy))
 
+    def _nearest(self, question: str, most: int = 100) -> DataFrame:
+        """The documents whose centroids are nearest to the question's; none if it has no known word."""
+        if self.centroids is None:
+            raise ValueError("retrieval by nearness needs the documents' centroids")
+        spark = self.docs.sparkSession
+        words = [w.lower() for w in Q.parse(question).words if w not in T.STOP_WORDS]
+        asked = spark.createDataFrame([(0, w) for w in words], "qid long, term string")
+        probe = R.question_centroid(asked, self.vectors, self.vocabulary).select(F.lit(None).cast("long").alias("probe"), F.col("vector").alias("pv"))
+        scored = self.centroids.crossJoin(F.broadcast(probe)).select("doc_id", V.cosine(F.col("pv"), F.col("embedding")).alias("score"))
+        return search.ranked(scored.orderBy(F.desc("score"), "doc_id").limit(most))
+
     def _sentences(self, found: DataFrame) -> DataFrame:
         return A.split_documents(self.docs.join(found.select("doc_id"), "doc_id", "left_semi"))
 
