@@ -135,11 +135,20 @@ def _grow(rows: list[tuple[dict[str, float], bool]], bins: int, most: int) -> Ru
                         best = (gain, c)
         if best is None:
             break
-        rule += (best[1],)
+        rule += (_midway(best[1], inside),)
         inside = [(row, bad) for row, bad in inside if best[1].holds(row)]
     return rule
 
 
+def _midway(c: Condition, rows: list[tuple[dict[str, float], bool]]) -> Condition:
+    """The condition with its threshold halfway to the nearest good row that it leaves out."""
+    outside = [row[c.statistic] for row, bad in rows if not bad and not c.holds(row)]
+    if not outside:
+        return c
+    near = max(outside) if c.above else min(outside)
+    return Condition(c.statistic, c.above, (c.threshold + near) / 2)
+
+
 def _prune(rule: Rule, rows: list[tuple[dict[str, float], bool]]) -> Rule:
     def worth(r: Rule) -> float:
         p, n = _counts(r, rows)
