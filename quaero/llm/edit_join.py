@@ -32,22 +32,27 @@ def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
     return start.cast("int"), (base + F.when(more >= parts - number + 1, 1).otherwise(0)).cast("int")
 
 
-def entries(line: Column, edits: int) -> Column:
-    n = F.length(line)
-    return F.array(*(F.xxhash64(n, F.lit(i), F.substring(line, *_segment(n, i, edits + 1))) for i in range(1, edits + 2)))
+def _key(raw: Column, length: Column, number: int, start: Column, size: Column) -> Column:
+    """Key of the segment of ``size`` characters from ``start``: ``raw`` has four bytes for each, so it is cut without reading what stands before."""
+    return F.xxhash64(length, F.lit(number), F.substring(raw, 4 * start - 3, 4 * size))
 
 
-def lookups(line: Column, edits: int) -> Column:
-    """Keys under which a partner that is as long, or up to ``edits`` shorter, may stand."""
-    n, found = F.length(line), []
+def entries(raw: Column, n: Column, edits: int) -> Column:
+    """Keys under which a line of n characters stands. ``raw`` (UTF-32) and ``n`` are columns of their own: expressions would be computed again in each key."""
+    return F.array(*(_key(raw, n, i, *_segment(n, i, edits + 1)) for i in range(1, edits + 2)))
+
+
+def lookups(raw: Column, n: Column, edits: int) -> Column:
+    """Keys under which a partner that is as long, or up to ``edits`` shorter, may stand; null where a place would be outside the line."""
+    found = []
     for shorter in range(edits + 1):
-        partner = (n - shorter).cast("int")
+        partner = n - shorter
         for i in range(1, edits + 2):
             start, size = _segment(partner, i, edits + 1)
             for shift in range(max(1 - i, shorter - (edits + 1 - i)), min(i - 1, shorter + (edits + 1 - i)) + 1):
                 fits = (start + shift >= 1) & (start + shift + size - 1 <= n)
-                found.append(F.when(fits, F.xxhash64(partner, F.lit(i), F.substring(line, start + shift, size))))
-    return F.array_compact(F.array_distinct(F.array(*found)))
+                found.append(F.when(fits, _key(raw, partner, i, start + shift, size)))
+    return F.array(*found)
 
 
 def line_places(docs: DataFrame) -> DataFrame:
@@ -64,9 +69,10 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     """
     ready_to_checkpoint(lines.sparkSession)
     long = lines.where(F.length("line") >= max(least, edits + 1)).select("id", "line")
-    distinct = long.distinct()
-    index = distinct.select("id", F.explode(entries(F.col("line"), edits)).alias("key"))
-    asks = distinct.select(F.col("id").alias("asker"), F.explode(lookups(F.col("line"), edits)).alias("key"))
+    sized = long.distinct().select("id", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("raw"))
+    # Exploded as expressions: for an array column the optimizer would compute the array once more in a filter, down at the scan.
+    index = sized.select("id", F.explode(entries(F.col("raw"), F.col("n"), edits)).alias("key"))
+    asks = sized.select(F.col("id").alias("asker"), F.explode(lookups(F.col("raw"), F.col("n"), edits)).alias("key")).where("key is not null")
     found = index.join(asks, "key").where("id <> asker").select(F.least("id", "asker").alias("a"), F.greatest("id", "asker").alias("z")).distinct().checkpoint()
     ids = found.select(F.explode(F.array("a", "z")).alias("id")).distinct()
     texts = long.join(ids, "id", "left_semi").distinct()
@@ -78,10 +84,12 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
 def removed_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(doc_id, n_lines, n_copies, n_near, removed): for every document, how many lines with a word it has, how many of them occurred
     before, how many have an earlier near line, and the numbers of the lines that go (from 0, all lines counted)."""
-    places = line_places(docs).withColumn("id", F.xxhash64("line"))
+    ready_to_checkpoint(docs.sparkSession)
+    lines = line_places(docs).withColumn("id", F.xxhash64("line"))
+    places = lines.select("doc", "no", "id").checkpoint()
     order = F.struct(F.col("doc").isNull().alias("last"), "doc", "no")
     by_line = places.groupBy("id").agg(F.min(order).alias("first"))
-    pairs = near_pairs(places, edits, least)
+    pairs = near_pairs(lines, edits, least)
     placed = pairs.join(by_line.select(F.col("id").alias("a"), F.col("first").alias("a_first")), "a").join(by_line.select(F.col("id").alias("z"), F.col("first").alias("z_first")), "z")
     later = placed.select(F.greatest("a_first", "z_first").alias("first")).distinct().select("first.doc", "first.no", F.lit(True).alias("near"))
     seen = places.select("doc", "no", "id", order.alias("place"))
