@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Space and the five ASCII controls tab .. carriage return, as Java regex class body and as trim characters.
 WS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
+#: Parts into which the rows of one key are dealt where a single key may have very many.
+SALTS = 16
 
 
 def split_words(text: Column) -> Column:
@@ -31,12 +33,14 @@ def ready_to_checkpoint(spark: SparkSession) -> None:
 def later_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, first_id, digest): every document whose exact text a smaller doc_id also has.
 
-    The copies of one text are counted by map-side aggregation, so a text that a third of all rows share
-    costs each task one row; the join back to the rows is a plain equi-join that adaptive execution can split.
+    The copies of one text are counted by map-side aggregation, so a text that a third of all rows share costs each task one row; the join
+    back to the rows is salted, with the repeated texts' (few) first ids copied to every salt.
     """
     marked = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
     first = marked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return marked.join(first, "digest").where("doc_id > first_id").select("doc_id", "first_id", "digest").distinct()
+    spread = first.select("digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["digest", "salt"]).where("doc_id > first_id").select("doc_id", "first_id", "digest").distinct()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
