@@ -148,7 +148,8 @@ def _repeated(key: tuple, rows: pa.Table) -> pa.Table:
     again = values[n > 1]
     out = []
     for b, part in zip(rows["b"].to_pylist(), parts, strict=True):
-        if len(mine := np.intersect1d(part, again)):
+        mine = np.unique(part[again[np.minimum(np.searchsorted(again, part), len(again) - 1)] == part]) if len(again) else part[:0]
+        if len(mine):
             out.append((key[0].as_py(), b, mine.tobytes()))
     return blob_table(out)
 
