@@ -9,9 +9,10 @@ the classes, their number depends on the power of two below n, and a document si
 
 Frequencies come from one token in four, chosen by hash, counted over all documents: a prefix takes less than a fifth of the
 tokens, so clean documents stay inside the counted ones, and what is left out is ordered by hash. Signatures only propose. Documents
-linked by proposals form candidate groups; each group's texts meet once, in blocks of bounded size if the group is
-large, and every pair not yet connected is compared by its whole sets. A block's task sends on a spanning forest of its links,
-never all pairs.
+linked by proposals form candidate groups, and a task compares the texts of a group by their whole sets, pairs already connected
+left out. A group beyond the size of a block is dealt into blocks, each compared in itself; then one document of every component found
+is compared with the others', which connects near copies of one text in linear work; only where a group still has several components, their
+documents meet in pairs of blocks. Tasks send on spanning forests of links, never all pairs.
 
 Defined results: lower-casing touches A-Z only; a document with fewer words than a shingle is one shingle; one without words, or null,
 has the empty set and no links; rows that share an id are one node, whose links are those of all its rows, each with its own count; a
@@ -35,7 +36,7 @@ RARE = 24
 #: Sets below this size use single tokens only.
 SMALL = 64
 #: Bytes of text in one block of a candidate group.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -233,12 +234,13 @@ def _propose(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"u": pairs[:, 0], "v": pairs[:, 1], "n": pa.nulls(len(pairs), pa.int64())})
 
 
-def forest(sets: list[np.ndarray], percent: int, skip: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect the sets just as all pairs with enough similarity would. ``skip``: sets of one block, whose pairs another task has."""
+def forest(sets: list[np.ndarray], percent: int, skip: np.ndarray | None = None, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect the sets just as all pairs with enough similarity would. ``skip``: blocks, inside which all pairs are compared already;
+    ``joined``: components that are known."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(sizes, kind="stable")
-    root = np.arange(n)
+    root = np.arange(n) if joined is None else np.unique(joined, return_inverse=True)[1]
     tokens, dense = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
     own = [dense[ends[i] - sizes[i] : ends[i]] for i in range(n)]
@@ -262,7 +264,7 @@ def forest(sets: list[np.ndarray], percent: int, skip: np.ndarray | None = None)
     for k in range(1, n):
         i = int(order[k])
         mark[own[i]] = True
-        if pivot is not None and root[pivot] != root[i] and similar(i, pivot):
+        if pivot is not None and root[pivot] != root[i] and (skip is None or skip[pivot] != skip[i]) and similar(i, pivot):
             join(i, pivot)
         low = int(np.searchsorted(sizes[order[:k]] * 100, percent * sizes[i]))
         rest = low + np.flatnonzero(root[order[low:k]] != root[i])
@@ -286,18 +288,54 @@ def forest(sets: list[np.ndarray], percent: int, skip: np.ndarray | None = None)
 
 
 def _compare(width: int, percent: int):
-    """Pass 5: the links of one candidate group, or of two blocks of a large one."""
+    """Pass 5: the links of one block of a candidate group, or between two blocks."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         ids = rows["doc_id"].to_pylist()
         sets = [shingle_set((t or "").encode(), width) for t in rows["text"].to_pylist()]
-        block = np.array(rows["block"].to_pylist())
-        found = forest(sets, percent, block if key[1].as_py() != key[2].as_py() else None)
+        across = key[1].as_py() != key[2].as_py()
+        found = forest(sets, percent, rows["block"].to_numpy() if across else None, rows["comp"].to_numpy() if across else None)
         return pa.table({"u": pa.array([ids[i] for i, _ in found], pa.int64()), "v": pa.array([ids[j] for _, j in found], pa.int64())})
 
     return run
 
 
+def _links(members: DataFrame, width: int, percent: int, pairs: bool) -> DataFrame:
+    """(u, v) links inside each block of (label, block, blocks, comp, doc_id, text), or of each pair of blocks of a label."""
+    other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: k != F.col("block"))) if pairs else F.col("block")
+    dealt = members.withColumn("other", other)
+    keyed = dealt.select("label", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("z"), "block", "comp", "doc_id", "text")
+    return keyed.groupBy("label", "a", "z").applyInArrow(_compare(width, percent), "u long, v long")
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """``members`` (label, comp, doc_id, text) with the number of blocks of their label and their own."""
+    weight = members.groupBy("label").agg(F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES).alias("blocks"))
+    return members.join(weight, "label").withColumn("block", F.pmod(F.xxhash64("doc_id", "label"), F.col("blocks")))
+
+
+def _verified(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): links that connect the members (label, doc_id, text) of each candidate group as all pairs with enough similarity would."""
+    dealt = _in_blocks(members.withColumn("comp", F.col("doc_id"))).select("label", "block", "blocks", "comp", "doc_id", "text").checkpoint()
+    links = _links(dealt, width, percent, pairs=False).checkpoint()
+    large = dealt.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    return links.union(_across(large, links, width, percent))
+
+
+def _across(large: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between the blocks of large groups: between one document of each component, then between all documents of what is still apart."""
+    named = lambda found: large.drop("comp").join(components(found, "u", "v").select(F.col("node").alias("doc_id"), F.col("root").alias("comp")), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    heads = _in_blocks(named(links).where("doc_id = comp").select("label", "comp", "doc_id", "text"))
+    both = heads.select("label", "block", "blocks", "comp", "doc_id", "text").checkpoint()
+    more = _links(both, width, percent, pairs=False).union(_links(both.where("blocks > 1"), width, percent, pairs=True)).checkpoint()
+    placed = named(links.union(more))
+    apart = placed.groupBy("label").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("label")
+    rest = placed.join(apart, "label", "left_semi")
+    return more.union(_links(rest.select("label", "block", "blocks", "comp", "doc_id", "text"), width, percent, pairs=True))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the smallest id reachable over links of at least ``percent`` similarity."""
     ready_to_checkpoint(docs.sparkSession)
@@ -316,12 +354,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     groups = components(proposed.where("v is not null"), "u", "v").select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
     members = ids.join(groups, "doc_id").join(copies.select("doc_id", F.unhex("digest").alias("gone")).distinct(), "doc_id", "left")
-    members = members.where("gone is null").select("doc_id", "label", "text")
-    weight = ids.select("doc_id", F.octet_length("text").alias("size")).join(groups, "doc_id").groupBy("label").agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("blocks"))
-    dealt = members.join(weight, "label").withColumn("block", F.pmod(F.xxhash64("doc_id", "label"), F.col("blocks")))
-    first = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", first).select("label", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("z"), "block", "doc_id", "text")
-    links = dealt.groupBy("label", "a", "z").applyInArrow(_compare(width, percent), "u long, v long")
+    members = members.where("gone is null").select("label", "doc_id", "text")
+    links = _verified(members, width, percent)
 
     roots = components(links.union(copies.select("doc_id", "first_id")), "u", "v")
     sizes = proposed.where("v is null").select(F.col("u").alias("doc_id"), F.col("n").alias("n_shingles"))
