@@ -125,7 +125,7 @@ class Engine:
         return found
 
 
-def ask_batch(docs: DataFrame, questions: DataFrame, vocabulary: DataFrame, vectors: DataFrame, most: int = 10, words: int = 4, docs_per_question: int = 200) -> DataFrame:
+def ask_batch(docs: DataFrame, questions: DataFrame, vocabulary: DataFrame, vectors: DataFrame, most: int = 10, words: int = 4, docs_per_question: int = 50) -> DataFrame:
     """(qid, doc_id, sid, sentence, score, rank) for a whole table of questions (qid, question) in one plan.
 
     Each question asks for its ``words`` rarest words; documents are found by one equi-join of terms and ordered by the sum of the weights that they share; their sentences are
