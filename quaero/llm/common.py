@@ -30,6 +30,11 @@ def ready_to_checkpoint(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quaero-checkpoint-"))
 
 
+def drop_old_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that a checkpoint has replaced: its cleaner acts on what the driver's collector finds, which may be long in coming."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def later_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, first_id, digest): every document whose exact text a smaller doc_id also has.
 

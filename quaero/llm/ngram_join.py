@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaero.llm.buckets import BLOB_SCHEMA, NO_ID, Layout, blob_table, by_target, in_buckets, layout, with_ids
-from quaero.llm.common import WS, components, later_copies, ready_to_checkpoint
+from quaero.llm.common import WS, components, drop_old_shuffles, later_copies, ready_to_checkpoint
 
 #: Words hashed at once.
 PIECE = 1 << 18
@@ -308,15 +308,17 @@ def _links(members: DataFrame, width: int, percent: int, pairs: bool) -> DataFra
     return keyed.groupBy("label", "a", "z").applyInArrow(_compare(width, percent), "u long, v long")
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """``members`` (label, comp, doc_id, text) with the number of blocks of their label and their own."""
-    weight = members.groupBy("label").agg(F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES).alias("blocks"))
-    return members.join(weight, "label").withColumn("block", F.pmod(F.xxhash64("doc_id", "label"), F.col("blocks")))
+def _in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``members`` (label, comp, doc_id, text) with the number of blocks of their label, from (label, size), and their own."""
+    weight = sizes.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("long").alias("blocks"))
+    placed = members.join(weight, "label").withColumn("block", F.pmod(F.xxhash64("doc_id", "label"), F.col("blocks")))
+    return placed.select("label", "block", "blocks", "comp", "doc_id", "text")
 
 
-def _verified(members: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(members: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v): links that connect the members (label, doc_id, text) of each candidate group as all pairs with enough similarity would."""
-    dealt = _in_blocks(members.withColumn("comp", F.col("doc_id"))).select("label", "block", "blocks", "comp", "doc_id", "text").checkpoint()
+    dealt = _in_blocks(members.withColumn("comp", F.col("doc_id")), sizes).checkpoint()
+    drop_old_shuffles(dealt.sparkSession)
     links = _links(dealt, width, percent, pairs=False).checkpoint()
     large = dealt.where("blocks > 1")
     if large.isEmpty():
@@ -327,8 +329,8 @@ def _verified(members: DataFrame, width: int, percent: int) -> DataFrame:
 def _across(large: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between the blocks of large groups: between one document of each component, then between all documents of what is still apart."""
     named = lambda found: large.drop("comp").join(components(found, "u", "v").select(F.col("node").alias("doc_id"), F.col("root").alias("comp")), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    heads = _in_blocks(named(links).where("doc_id = comp").select("label", "comp", "doc_id", "text"))
-    both = heads.select("label", "block", "blocks", "comp", "doc_id", "text").checkpoint()
+    heads = named(links).where("doc_id = comp").select("label", "comp", "doc_id", "text")
+    both = _in_blocks(heads, heads.select("label", F.octet_length("text").alias("size"))).checkpoint()
     more = _links(both, width, percent, pairs=False).union(_links(both.where("blocks > 1"), width, percent, pairs=True)).checkpoint()
     placed = named(links.union(more))
     apart = placed.groupBy("label").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("label")
@@ -351,15 +353,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = counts.groupBy("bucket").applyInArrow(_repeated_tokens, BLOB_SCHEMA)
     signed = together(notes.union(known)).applyInArrow(_sign(width, percent, plan), BLOB_SCHEMA)
     proposed = signed.groupBy("bucket").applyInArrow(_propose, "u long, v long, n long").checkpoint()
+    drop_old_shuffles(docs.sparkSession)
 
     groups = components(proposed.where("v is not null"), "u", "v").select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
     members = ids.join(groups, "doc_id").join(copies.select("doc_id", F.unhex("digest").alias("gone")).distinct(), "doc_id", "left")
     members = members.where("gone is null").select("label", "doc_id", "text")
-    links = _verified(members, width, percent)
+    sizes = ids.select("doc_id", F.octet_length("text").alias("size")).join(groups, "doc_id").select("label", "size")
+    links = _verified(members, sizes, width, percent)
 
+    drop_old_shuffles(docs.sparkSession)
     roots = components(links.union(copies.select("doc_id", "first_id")), "u", "v")
-    sizes = proposed.where("v is null").select(F.col("u").alias("doc_id"), F.col("n").alias("n_shingles"))
-    joined = sizes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
+    counted = proposed.where("v is null").select(F.col("u").alias("doc_id"), F.col("n").alias("n_shingles"))
+    joined = counted.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
     bare = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return joined.select(bare("doc_id"), "n_shingles", bare("component_id"))
 
