@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaero.llm.common import WS_CHARS, ready_to_checkpoint
+from quaero.llm.common import WS_CHARS, drop_old_shuffles, ready_to_checkpoint
 
 EDITS = 2
 LEAST = 16
@@ -74,6 +74,7 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     index = sized.select("id", F.explode(entries(F.col("raw"), F.col("n"), edits)).alias("key"))
     asks = sized.select(F.col("id").alias("asker"), F.explode(lookups(F.col("raw"), F.col("n"), edits)).alias("key")).where("key is not null")
     found = index.join(asks, "key").where("id <> asker").select(F.least("id", "asker").alias("a"), F.greatest("id", "asker").alias("z")).distinct().checkpoint()
+    drop_old_shuffles(lines.sparkSession)
     ids = found.select(F.explode(F.array("a", "z")).alias("id")).distinct()
     texts = long.join(ids, "id", "left_semi").distinct()
     both = found.join(texts.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(texts.select(F.col("id").alias("z"), F.col("line").alias("z_line")), "z")
