@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,7 @@ def ready_to_checkpoint(spark: SparkSession) -> None:
 
 def drop_old_shuffles(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of plans that a checkpoint has replaced: its cleaner acts on what the driver's collector finds, which may be long in coming."""
+    gc.collect()  # frames of this process keep theirs in the driver alive
     spark.sparkContext._jvm.System.gc()
 
 
