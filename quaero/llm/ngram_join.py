@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaero.llm.buckets import BLOB_SCHEMA, NO_ID, Layout, blob_table, by_target, in_buckets, layout, with_ids
@@ -356,8 +356,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     drop_old_shuffles(docs.sparkSession)
 
     groups = components(proposed.where("v is not null"), "u", "v").select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
-    members = ids.join(groups, "doc_id").join(copies.select("doc_id", F.unhex("digest").alias("gone")).distinct(), "doc_id", "left")
-    members = members.where("gone is null").select("label", "doc_id", "text")
+    # A copy is one row's text: other rows of its id are compared.
+    gone = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("gone"))
+    members = ids.join(groups, "doc_id").join(gone, "doc_id", "left")
+    members = members.where(F.col("gone").isNull() | ~F.array_contains("gone", F.sha2("text", 256))).select("label", "doc_id", "text")
     sizes = ids.select("doc_id", F.octet_length("text").alias("size")).join(groups, "doc_id").select("label", "size")
     links = _verified(members, sizes, width, percent)
 
@@ -370,9 +372,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near duplicates, with all its columns: that of the smallest id (of several rows of that id, the least text)."""
-    groups = near_duplicates(docs, width, percent)
-    staying = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id")).distinct()
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    first = Window.partitionBy("__id").orderBy("text")
-    return rows.join(staying, "__id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__id", "__n")
+    """One row of each group of near duplicates, with all its columns: that of the smallest id, null last (of several texts of that id, the one of the least hash).
+
+    Each distinct (id, text) is a node of its own here, so different texts under one id, or under none, are judged apart.
+    """
+    rows = docs.withColumn("__node", F.xxhash64("doc_id", F.sha2("text", 256)))
+    groups = near_duplicates(rows.select(F.col("__node").alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("__node"), "component_id").distinct()
+    ids = rows.select("__node", F.col("doc_id").cast("long").alias("id")).distinct()
+    staying = ids.join(groups, "__node").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "__node")).alias("s")).select("s.__node")
+    return rows.join(staying, "__node", "left_semi").dropDuplicates(["__node"]).drop("__node")

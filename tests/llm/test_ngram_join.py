@@ -59,6 +59,26 @@ def test_one_of_each(docs, rows):
     assert J.one_of_each(docs).columns == docs.columns
 
 
+def test_rows_that_share_an_id(spark):
+    """Null ids and one id with several texts: clean texts stay, and a copy under an id does not hide the id's other rows."""
+    clean = [" ".join(f"{name}{k}" for k in range(40)) for name in "abcdefgh"]
+    near = lambda text: text + " end"
+    rows = [(1, clean[0]), (5, clean[0]), (5, clean[1]), (9, near(clean[1])), (None, clean[2]), (None, clean[3]), (None, near(clean[3])), (None, clean[0]), (None, clean[4]), (7, near(clean[4]))]
+    rows += [(8, clean[5]), (8, clean[6]), (8, clean[6]), (None, None), (2, ""), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(J.near_duplicates(df, 5, 80)) == brute(rows, 5, 80)
+    got = [(r.doc_id, r.text) for r in J.one_of_each(df).collect()]
+    assert len(got) == len(set(got)) == 10
+    assert set(got) - {(None, clean[3]), (None, near(clean[3]))} == {(1, clean[0]), (5, clean[1]), (None, clean[2]), (7, near(clean[4])), (8, clean[5]), (8, clean[6]), (None, None), (2, ""), (3, "")}
+
+
+def test_one_of_each_of_odd_rows(odd):
+    rows = list(dict.fromkeys((r.doc_id, r.text) for r in odd.collect()))
+    groups = brute([(k, t) for k, (_, t) in enumerate(rows)], 5, 80)
+    want = sorted(min((rows[k][0] is None, rows[k][0] or 0) for k, _, root in groups if root == top) for top in {root for *_, root in groups})
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in J.one_of_each(odd).collect()) == want
+
+
 @pytest.mark.parametrize("block", [4000, 12000])
 def test_large_groups_in_blocks(spark, monkeypatch, block):
     rng = random.Random(3)
