@@ -55,11 +55,29 @@ def lookups(raw: Column, n: Column, edits: int) -> Column:
     return F.array(*found)
 
 
+def _with_offsets(docs: DataFrame) -> DataFrame:
+    """(doc, text, before): the number of lines in the earlier rows of the same id, rows in order of their text. A single id's rows are dealt into ranges
+    of texts, so one with very many rows is summed range by range."""
+    ready_to_checkpoint(docs.sparkSession)
+    rows = docs.where("text is not null").select(F.col("doc_id").alias("doc"), "text")
+    repeated = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("doc").alias("again")).checkpoint()
+    if repeated.isEmpty():
+        return rows.withColumn("before", F.lit(0))
+    same = rows["doc"].eqNullSafe(repeated["again"])
+    single = rows.join(repeated, same, "left_anti").withColumn("before", F.lit(0))
+    ranged = rows.join(repeated, same, "left_semi").withColumn("n", F.size(F.split("text", "\n"))).repartitionByRange(F.col("doc"), F.col("text"))
+    ranged = ranged.withColumn("part", F.spark_partition_id()).checkpoint()
+    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("doc", "part").agg(F.sum("n").alias("n")).select(F.col("doc").alias("d"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(earlier("doc", "part")), F.lit(0)).alias("start"))
+    inside = ranged.withColumn("own", F.coalesce(F.sum("n").over(earlier("part", "doc", "text")), F.lit(0)))
+    placed = inside.join(parts, inside["doc"].eqNullSafe(parts["d"]) & (inside["part"] == parts["p"]))
+    return single.unionByName(placed.select("doc", "text", (F.col("start") + F.col("own")).cast("int").alias("before")))
+
+
 def line_places(docs: DataFrame) -> DataFrame:
-    """(doc, row, no, line) of every line with a word."""
-    each = docs.select(F.col("doc_id").alias("doc"), "text")
-    placed = each.select("doc", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return placed.where(F.length(F.btrim("line", F.lit(WS_CHARS))) > 0)
+    """(doc, no, line) of every line with a word; ``no`` counts over all rows of the id."""
+    placed = _with_offsets(docs).select("doc", "before", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return placed.where(F.length(F.btrim("line", F.lit(WS_CHARS))) > 0).select("doc", (F.col("before") + F.col("at")).alias("no"), "line")
 
 
 def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:

@@ -266,5 +266,28 @@ def test_lines_of_odd_rows(odd, empty):
     assert len(got) == len({r.doc_id for r in odd.collect()}) and E.removed_lines(empty).collect() == []
 
 
+def test_lines_of_shared_ids(spark, odd):
+    """Rows of one id, or of none, are numbered together in order of their text."""
+    same = "the very first line of this\nand another clean line here"
+    more = [(None, same), (None, same), (None, "quite unlike anything else\nand another clean line herf"), (3000, same), (3000, "zz entirely different words\nsecond unlike all the rest"), (3000, same)]
+    rows = [(r.doc_id, r.text) for r in odd.collect()] + more
+    by_id: dict = defaultdict(list)
+    for d, t in rows:
+        by_id[d] += [] if t is None else [t]
+    places = [((d is None, d or 0), n, line) for d in by_id for n, line in enumerate(line for t in sorted(by_id[d], key=str.encode) for line in t.split("\n")) if WORD.search(line)]
+    first: dict = {}
+    for d, n, line in sorted(places):
+        first.setdefault(line, (d, n))
+    near = {line for line, at in first.items() if any(first[o] < at and min(len(o), len(line)) >= 16 and abs(len(o) - len(line)) <= 2 and distance(o, line) <= 2 for o in first if o != line)}
+    want, copies = defaultdict(list), defaultdict(int)
+    for d, n, line in sorted(places):
+        copies[d] += first[line] != (d, n)
+        if first[line] != (d, n) or line in near:
+            want[d].append(n)
+    got = {(r.doc_id is None, r.doc_id or 0): r for r in E.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert near and len(got) == len(by_id)
+    assert {d: (list(r.removed), r.n_copies) for d, r in got.items()} == {d: (want[d], copies[d]) for d in got}
+
+
 def test_hash_of_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
