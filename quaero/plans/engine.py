@@ -125,19 +125,18 @@ class Engine:
         return found
 
 
-def ask_batch(docs: DataFrame, questions: DataFrame, vocabulary: DataFrame, vectors: DataFrame, most: int = 10, words: int = 4, docs_per_question: int = 50) -> DataFrame:
+def ask_batch(docs: DataFrame, questions: DataFrame, vocabulary: DataFrame, vectors: DataFrame, most: int = 10, docs_per_question: int = 2000) -> DataFrame:
     """(qid, doc_id, sid, sentence, score, rank) for a whole table of questions (qid, question) in one plan.
 
-    Each question asks for its ``words`` rarest words; documents are found by one equi-join of terms and ordered by the sum of the weights that they share; their sentences are
-    ranked by relaxed word mover's similarity and deduplicated. No loop over questions, no collected rows.
+    Each question asks for all its known words; documents are found by one equi-join of terms and ordered by the sum of the weights that they share; the sentences of the
+    best ``docs_per_question``, as many as :class:`Engine` takes, are ranked by relaxed word mover's similarity and deduplicated. No loop over questions, no collected rows.
     """
     from pyspark.sql import Window
 
     from quaero.operators.vocabulary import terms
 
     asked = terms(questions, "qid", "question").select("qid", "term").distinct().join(vocabulary.select("term", "weight"), "term")
-    rare = asked.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("weight"), "term"))).where(F.col("n") <= words)
-    hits = terms(docs).select("doc_id", "term").distinct().join(rare.select("qid", "term", "weight"), "term")
+    hits = terms(docs).select("doc_id", "term").distinct().join(asked, "term")
     found = hits.groupBy("qid", "doc_id").agg(F.sum("weight").alias("s"))
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("s", 9)), "doc_id"))).where(F.col("n") <= docs_per_question).select("qid", "doc_id")
     sentences = A.split_documents(docs).join(best, "doc_id")

@@ -255,12 +255,13 @@ nd AS (SELECT count(*) AS n FROM documents), ne AS (SELECT count(*) AS n FROM em
 k AS (SELECT term, idf / top AS weight, (row_number() OVER (ORDER BY df DESC, term) - 1) % ne.n AS vec_id FROM i, t, ne WHERE df >= 2), v AS (SELECT term, weight, embedding::DOUBLE[] AS e FROM k JOIN embeddings USING (vec_id))"""
 
 
-def term_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(term, weight) and (term, embedding) of terms of two documents or more."""
+def term_tables(spark: SparkSession, sf_dir: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(term, weight) and (term, embedding) of terms of ``least`` documents or more. A term's vector is the same for any ``least``: rarer ones stand behind it."""
     docs, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     vocabulary = VOC.idf_weights(VOC.document_frequency(docs), docs.count())
-    placed = vocabulary.where("df >= 2").withColumn("vec_id", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1) % e.count())
-    return vocabulary.where("df >= 2").select("term", "weight"), placed.select("term", "vec_id").join(e.select("vec_id", "embedding"), "vec_id").select("term", "embedding")
+    vocabulary = vocabulary.where(F.col("df") >= least)
+    placed = vocabulary.withColumn("vec_id", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1) % e.count())
+    return vocabulary.select("term", "weight"), placed.select("term", "vec_id").join(e.select("vec_id", "embedding"), "vec_id").select("term", "embedding")
 
 
 _RWMD = f"""WITH {SENTENCES}, {_VECTORS}, q AS (SELECT DISTINCT item_id AS qid, term FROM (SELECT item_id, unnest({WORDS}) AS term FROM benchmark WHERE item_id < 3)),
@@ -478,5 +479,5 @@ def question_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ask_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every benchmark question against all documents, ten answers for each."""
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    vocabulary, vectors = term_tables(spark, sf_dir)
+    vocabulary, vectors = term_tables(spark, sf_dir, 1)
     return ask_batch(table(spark, sf_dir, "documents").select("doc_id", "text"), questions, vocabulary, vectors)

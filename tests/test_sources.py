@@ -109,6 +109,50 @@ def test_batch_equals_single_questions(spark):
     assert batch.sentence == got[0]["s"] and batch.score == pytest.approx(1.0)
 
 
+def test_batch_equals_brute_force(spark):
+    """A question's answer may stand behind fifty documents with rarer words, or share only its fifth word, or a word of one document."""
+    import math
+    import re
+
+    from quaero.plans.engine import ask_batch
+
+    rows = [(i, "Alpha beta gamma delta are said in this rather long sentence here.") for i in range(70)]
+    rows += [(100, "Nothing but omega stands within this rather long sentence here."), (101, "Alpha beta gamma delta omega are said in this rather long sentence.")]
+    rows += [(200, "Solitary unheard things stand within this rather long sentence.")]
+    weights = {"alpha": 0.9, "beta": 0.8, "gamma": 0.7, "delta": 0.6, "omega": 0.5, "solitary": 1.0}
+    units = {w: [float(i == k) for k in range(6)] for i, w in enumerate(weights)}
+    units["omega"] = [1.0, 1.0, 1.0, 1.0, 1.0, 0.0]
+    asked = {1: "alpha beta gamma delta omega", 2: "solitary", 3: "unknown"}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    want = []
+    for q, question in asked.items():
+        terms = [w for w in question.split() if w in weights]
+        best: dict = {}
+        for d, text in rows:
+            words = [w for w in re.findall(r"\w+", text.lower()) if w in weights]
+            if set(words) & set(terms):
+                above = sum(weights[t] * max([-1.0, *(cosine(units[t], units[w]) for w in words)]) for t in terms)
+                best.setdefault(text, (-max(0.0, above / sum(weights[t] for t in terms)), d))
+        found = sorted(best.values())
+        want += [(q, d, n, -score) for n, (score, d) in enumerate(found, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    questions = spark.createDataFrame(list(asked.items()), "qid long, question string")
+    got = ask_batch(docs, questions, spark.createDataFrame(list(weights.items()), "term string, weight double"), spark.createDataFrame(list(units.items()), "term string, embedding array<float>"))
+    got = sorted((r.qid, r["rank"], r.doc_id, r.score) for r in got.collect())
+    assert {d for _, d, *_ in want} >= {100, 101, 200}
+    assert [(q, d, n) for q, n, d, _ in got] == [(q, d, n) for q, d, n, _ in want]
+    assert [s for *_, s in got] == pytest.approx([s for *_, s in want], abs=1e-5)
+
+
+def test_words_of_one_document_are_known(spark, tmp_path):
+    from quaero.queries import term_tables
+
+    spark.createDataFrame([(1, "common single"), (2, "common")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [{r.term for r in t.collect()} for t in term_tables(spark, str(tmp_path), 1)] == [{"common", "single"}] * 2
+    assert {r.term for r in term_tables(spark, str(tmp_path))[0].collect()} == {"common"}
+
+
 def test_entry_without_the_training_operators(monkeypatch):
     import builtins
     import importlib
