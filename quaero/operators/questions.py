@@ -112,6 +112,17 @@ def parse(question: str, tagger: Tagger = tag) -> Parsed:
     return Parsed(tuple(words), tuple(tags), tuple(chunk(words, tags)))
 
 
+def parse_sentences(question: str, tagger: Tagger = tag) -> list[Parsed]:
+    """Each sentence of a text parsed by itself; the tokenizer says which full stops end one."""
+    sentences: list[list[str]] = [[]]
+    for w in query_tokens(question):
+        if w != ".":
+            sentences[-1].append(w)
+        if w in (".", "?", "!") and sentences[-1]:
+            sentences.append([])
+    return [Parsed(tuple(words), tuple(tags), tuple(chunk(words, tags))) for words in sentences if words for tags in (tagger(words),)]
+
+
 # Trees ----------------------------------------------------------------------------------------------------------------
 
 
@@ -287,3 +298,11 @@ def build_query(parsed: Parsed, weights: dict[str, float] | None = None, keyword
     elif keys and option == "BOOST":
         query = query.boosted(keys)
     return query
+
+
+def analysed(question: str) -> tuple[str | None, str | None, str]:
+    """(focus, definition phrase, query) of a text: the first sentence's that has one, and the parts of all sentences, those that repeat left out."""
+    parsed = parse_sentences(question)
+    focused = next((f.phrase for f in map(focus, parsed) if f), None)
+    defined = next((d[0] for d in map(definition_phrases, parsed) if d), None)
+    return focused, defined, Query.of([part for p in parsed for part in build_query(p).parts]).deduplicated().rendered()

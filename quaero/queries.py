@@ -460,16 +460,14 @@ def all_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def question_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Focus, definition phrase and query of every benchmark question."""
+    """Focus, definition phrase and query of every benchmark question, all of its sentences read."""
     schema = "item_id long, focus string, definition string, query string"
 
     def run(batches):
         for b in batches:
             out = []
             for i, t in zip(b["item_id"], b["text"], strict=True):
-                p = Q.parse((t or "").split(".")[0])
-                f, d = Q.focus(p), Q.definition_phrases(p)
-                out.append((i, f and f.phrase, d and d[0], Q.build_query(p).rendered()))
+                out.append((i, *Q.analysed(t or "")))
             yield b.__class__(out, columns=["item_id", "focus", "definition", "query"])
 
     return table(spark, sf_dir, "benchmark").select("item_id", "text").mapInPandas(run, schema)

@@ -107,3 +107,14 @@ def test_trees():
     assert [w for _, w in Q.tree_leaves(tree)] == "the big gene binds protein of yeast".split()
     assert [c.text for c in Q.tree_noun_phrases(tree)] == ["the big gene", "protein", "yeast"]
     assert Q.tree_leaves("nothing") is None
+
+
+def test_whole_question_is_analysed():
+    from quaero.operators import questions as Q
+
+    focus, definition, query = Q.analysed("Patients took 3.5 mg of aspirin, e.g. daily. Which gene regulates calcium? The kidney filters blood.")
+    assert focus == "gene" and definition is None
+    assert all(w in query for w in ("Patients", "aspirin", "gene", "calcium", "kidney", "blood"))
+    assert Q.analysed("A long story was told. What is aspirin?")[1] == "aspirin"
+    assert Q.analysed("Which gene regulates calcium?") == (Q.focus(p := Q.parse("Which gene regulates calcium?")).phrase, None, Q.build_query(p).rendered())
+    assert Q.analysed("") == Q.analysed(" . ") == (None, None, "")
