@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,17 +94,35 @@ def tag_text(text: str, known: dict[str, tuple[str, ...]], most: int = 8) -> dic
     return {p: t for p, t in found.items() if p.lower() not in GENERIC_NOUNS}
 
 
+ENTITIES = "array<struct<phrase:string,types:array<string>>>"
+
+
+def _in_order(types: Iterable[str]) -> tuple[str, ...]:
+    return tuple(sorted(types, key=lambda t: TYPE_ORDER.index(t) if t in TYPE_ORDER else 99))
+
+
+def _entities(text: str | None, known: dict[str, tuple[str, ...]]) -> list[dict]:
+    return [{"phrase": p, "types": list(k)} for p, k in tag_text(text or "", known).items()]
+
+
+def asked_phrases(text: str, most: int = 8) -> list[str]:
+    """Every phrase that :func:`tag_text` may look up in a sentence, whatever the dictionary has."""
+    words = [t for t, _, _ in tokens(text)]
+    found = {" ".join(words[i:j]).lower() for i in range(len(words)) for j in range(i + 1, min(i + most, len(words)) + 1)}
+    return sorted(found | {p.split(" ", 1)[1] for p in found if p.startswith("protein") and " " in p})
+
+
 def tagged(sentences: DataFrame, known: DataFrame, column: str = "sentence", most_terms: int = 500_000) -> DataFrame:
     """``sentences`` with ``entities``: array of (phrase, types). The dictionary travels with the function, so its size is checked first; beyond
-    ``most_terms`` use :func:`tagged_by_join`."""
+    ``most_terms`` :func:`tagged_by_join` gives the same entities."""
     rows = known.groupBy(F.lower("term").alias("term")).agg(F.array_sort(F.collect_set("entity_type")).alias("types")).limit(most_terms + 1).collect()
     if len(rows) > most_terms:
         return tagged_by_join(sentences, known, column)
-    table = sentences.sparkSession.sparkContext.broadcast({r.term: tuple(sorted(r.types, key=lambda t: TYPE_ORDER.index(t) if t in TYPE_ORDER else 99)) for r in rows})
+    table = sentences.sparkSession.sparkContext.broadcast({r.term: _in_order(r.types) for r in rows})
 
-    @F.pandas_udf("array<struct<phrase:string,types:array<string>>>")
+    @F.pandas_udf(ENTITIES)
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"phrase": p, "types": list(k)} for p, k in tag_text(t or "", table.value).items()])
+        return texts.map(lambda t: _entities(t, table.value))
 
     return sentences.withColumn("entities", run(F.col(column)))
 
@@ -130,17 +150,22 @@ def spans(sentences: DataFrame, key: list[str], column: str, most: int = 4) -> D
     return words.select(*key, F.inline(F.concat(*(cut(n) for n in range(1, most + 1)))))
 
 
-def tagged_by_join(sentences: DataFrame, known: DataFrame, column: str = "sentence", most: int = 4) -> DataFrame:
-    """Tagging against a dictionary of any size: all spans, an equi-join, and a greedy pass over the spans that were found."""
+def tagged_by_join(sentences: DataFrame, known: DataFrame, column: str = "sentence") -> DataFrame:
+    """Tagging against a dictionary of any size: all phrases that a sentence may ask for, an equi-join, and :func:`tag_text` with the terms that were found."""
+
+    @F.pandas_udf("array<string>")
+    def phrases(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: asked_phrases(t or ""))
+
+    @F.pandas_udf(ENTITIES)
+    def run(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([_entities(t, {} if k is None else {e["phrase"]: _in_order(e["types"]) for e in k}) for t, k in zip(texts, found, strict=True)], dtype=object)
+
     keyed = sentences.withColumn("__key", F.xxhash64(column))
-    hits = spans(keyed.select("__key", column).distinct(), ["__key"], column, most).join(known.select(F.lower("term").alias("phrase"), "entity_type"), "phrase")
-    per_span = hits.groupBy("__key", "start", "size", "phrase").agg(F.array_sort(F.collect_set("entity_type")).alias("types"))
-    ordered = per_span.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("size")).alias("neg"), "phrase", "types"))).alias("all"))
-    empty = F.struct(F.array().cast("array<struct<phrase:string,types:array<string>>>").alias("kept"), F.lit(0).alias("end"))
-    step = lambda acc, s: F.when(s["start"] >= acc["end"], F.struct(F.concat(acc["kept"], F.array(F.struct(s["phrase"].alias("phrase"), s["types"].alias("types")))).alias("kept"), (s["start"] - s["neg"]).alias("end"))).otherwise(acc)
-    chosen = F.array_distinct(F.filter(F.aggregate("all", empty, step, lambda acc: acc["kept"]), lambda e: ~e["phrase"].isin(*GENERIC_NOUNS)))
-    joined = keyed.join(ordered.select("__key", chosen.alias("entities")), "__key", "left").drop("__key")
-    return joined.withColumn("entities", F.coalesce("entities", F.array().cast("array<struct<phrase:string,types:array<string>>>")))
+    asked = keyed.select("__key", column).distinct().select("__key", F.explode(phrases(F.col(column))).alias("phrase"))
+    typed_terms = known.groupBy(F.lower("term").alias("phrase")).agg(F.collect_set("entity_type").alias("types"))
+    found = asked.join(typed_terms, "phrase").groupBy("__key").agg(F.collect_list(F.struct("phrase", "types")).alias("__found"))
+    return keyed.join(found, "__key", "left").withColumn("entities", run(F.col(column), F.col("__found"))).drop("__key", "__found")
 
 
 def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", first_only: bool = False, most: int = 32) -> DataFrame:

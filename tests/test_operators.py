@@ -181,3 +181,16 @@ def test_factoids(spark):
     assert (row.phrase, row.rank) == ("iron", 1) and row.score > 0.9
     assert FA.reranked_by_similarity(got, asked, vectors, vocabulary).count() == 1
     assert E.query_types("breast disease", {}) == ("disease",) and E.query_types("protein kinase", {}) == ("protein",) and E.query_types("gene", {"gene": ("gene",)}) == ()
+
+
+def test_both_ways_of_tagging(spark):
+    """The dictionary that travels and the one that is joined give the same entities."""
+    long = "one two three four five six seven eight"
+    prefixes = [" ".join(long.split()[:k]) for k in range(1, 9)]
+    known = spark.createDataFrame([*((p, "disease") for p in prefixes), ("p53", "gene"), ("il-2", "protein"), ("insulin", "drug"), ("insulin", "protein"), ("insulin", "unlisted"), ("breast", "anatomical entity"), ("breast cancer", "disease"), ("protein", "protein"), ("kinase", "protein"), ("kinase c", "enzyme")], "term string, entity_type string")
+    texts = [f"Here {long} nine.", "Breast cancer (p53, IL-2) and protein kinase C; protein XYZ; protein insulin's role.", "cancer of the breast cancer", "", None, "p53 P53 p53/insulin", "Gene insulin"]
+    s = spark.createDataFrame(list(enumerate(texts)), "sid long, sentence string")
+    rows = lambda df: {r.sid: [(e.phrase, list(e.types)) for e in r.entities] for r in df.collect()}
+    want = rows(E.tagged(s, known))
+    assert want[0][0] == (long, ["disease"]) and len(want[1]) > 3
+    assert rows(E.tagged_by_join(s, known)) == want == rows(E.tagged(s, known, most_terms=2))
