@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaero.functions import text as T
@@ -43,6 +43,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Probes and questions of the whole-table queries (``..._all``). The queries that they stand beside take the few ids that their SQL takes.
+EVERY = 100
+
+
+def _every(id_column: str) -> Column:
+    return F.col(id_column) % EVERY == 0
+
+
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')"
 SENTENCES = r"""s AS (SELECT doc_id, i - 1 AS sid, regexp_replace(p[i], '^\s+|\s+$', '', 'g') AS raw FROM
   (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^.?!]+[.?!]?') AS p FROM documents))),
@@ -274,13 +282,28 @@ b AS (SELECT qid, sum(weight) AS below FROM qv GROUP BY qid), r AS (SELECT ss.qi
 
 @query(_RWMD + " SELECT qid, doc_id, sid, round(score::REAL::DOUBLE, 4) AS score FROM r")
 def rwmd_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rwmd_scores(spark, sf_dir, F.col("item_id") < 3, F.col("doc_id") < 60)
+
+
+def _rwmd_scores(spark: SparkSession, sf_dir: str, items: Column, docs: Column) -> DataFrame:
     vocabulary, vectors = term_tables(spark, sf_dir)
-    asked = VOC.terms(table(spark, sf_dir, "benchmark").where("item_id < 3"), "item_id").select(F.col("item_id").alias("qid"), "term")
-    words = sentence_split(spark, sf_dir).where("doc_id < 60").select(F.struct("doc_id", "sid").alias("sid"), F.explode(VOC.lower_words(F.col("sentence"))).alias("term"))
+    asked = VOC.terms(table(spark, sf_dir, "benchmark").where(items), "item_id").select(F.col("item_id").alias("qid"), "term")
+    words = sentence_split(spark, sf_dir).where(docs).select(F.struct("doc_id", "sid").alias("sid"), F.explode(VOC.lower_words(F.col("sentence"))).alias("term"))
     each = words.crossJoin(F.broadcast(asked.select("qid").distinct()))
     return R.rwmd(asked, each, vectors, vocabulary).select("qid", "sid.doc_id", "sid.sid", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
+@query()
+def rwmd_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every document for each question whose id is a multiple of ``EVERY``."""
+    return _rwmd_scores(spark, sf_dir, _every("item_id"), F.lit(True))
+
+
+@query()
+def rwmd_rank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.top_per_question(rwmd_score_all(spark, sf_dir), 10).select("qid", "doc_id", "sid", "rank")
+
+
 @query(_RWMD + """, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score::REAL::DOUBLE, 4) DESC, doc_id, sid)::INT AS rank FROM r) SELECT qid, doc_id, sid, rank FROM o WHERE rank <= 10""")
 def rwmd_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.top_per_question(rwmd_score(spark, sf_dir), 10).select("qid", "doc_id", "sid", "rank")
