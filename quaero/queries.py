@@ -223,7 +223,23 @@ r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY cos DESC, vec_id)
 b AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY n DESC, label) AS k FROM v) SELECT probe, own, label AS voted, n FROM b WHERE k = 1""")
 def knn_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    near = R.top_similar(e, e.where("vec_id < 40"), 5).join(e.select("vec_id", "label"), "vec_id")
+    return _voted(e, e.where("vec_id < 40"))
+
+
+@query()
+def cosine_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return R.top_similar(e, e.where(_every("vec_id")))
+
+
+@query()
+def knn_label_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return _voted(e, e.where(_every("vec_id")))
+
+
+def _voted(e: DataFrame, probes: DataFrame) -> DataFrame:
+    near = R.top_similar(e, probes, 5).join(e.select("vec_id", "label"), "vec_id")
     votes = near.groupBy("probe", "label").agg(F.count(F.lit(1)).alias("n"))
     return A.best_by(votes, ["probe"], "n", "label").join(e.select(F.col("vec_id").alias("probe"), F.col("label").alias("own")), "probe").select("probe", "own", F.col("label").alias("voted"), "n")
 
@@ -252,6 +268,22 @@ def jaccard_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.round(V.jaccard(F.col("ab"), F.col("bb")), 6).alias("jaccard"))
 
 
+#: Vectors in one block of the whole Jaccard join.
+BLOCK_ROWS = 2000
+
+
+@query()
+def jaccard_bits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of vectors with a common bit: the vectors are dealt into blocks and every pair of blocks meets once."""
+    e = table(spark, sf_dir, "embeddings")
+    n = e.count() // BLOCK_ROWS + 1
+    b = V.bit_sets(e, "vec_id", 8).withColumn("k", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
+    x = b.select(F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.lit(n - 1).cast("long"))).alias("j"), F.col("vec_id").alias("x"), F.col("bits").alias("xb"))
+    y = b.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("k"))).alias("i"), F.col("k").alias("j"), F.col("vec_id").alias("y"), F.col("bits").alias("yb"))
+    pairs = x.join(y, ["i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & F.arrays_overlap("xb", "yb"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round(V.jaccard(F.col("xb"), F.col("yb")), 6).alias("jaccard"))
+
+
 @query("SELECT label, dim - 1 AS dim, round(avg(x::DOUBLE), 6) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY label, dim")
 def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = V.mean_vectors(table(spark, sf_dir, "embeddings"), ["label"])
@@ -466,6 +498,11 @@ def ordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.ordered_pairs(rows, "conv_id", "turn", "n")
 
 
+@query()
+def ordered_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.ordered_pairs(table(spark, sf_dir, "conversations").withColumn("n", F.length("text")), "conv_id", "turn", "n")
+
+
 @query(r"""WITH k AS (SELECT regexp_replace(text, '\s+', '', 'g') AS key, min(doc_id) AS doc_id FROM documents GROUP BY 1) SELECT doc_id FROM k""")
 def first_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.first_by_key(table(spark, sf_dir, "documents"), "text", ["doc_id"]).select("doc_id")
