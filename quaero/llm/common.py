@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ WS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
 #: Parts into which the rows of one key are dealt where a single key may have very many.
 SALTS = 16
+#: Edges of a graph that one task connects before the distributed steps: 16 MB.
+EDGES_AT_ONCE = 1 << 20
 
 
 def split_words(text: Column) -> Column:
@@ -31,10 +35,23 @@ def ready_to_checkpoint(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quaero-checkpoint-"))
 
 
-def drop_old_shuffles(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that a checkpoint has replaced: its cleaner acts on what the driver's collector finds, which may be long in coming."""
-    gc.collect()  # frames of this process keep theirs in the driver alive
-    spark.sparkContext._jvm.System.gc()
+#: Bits of the map by which rows are told apart before a shuffle: 1 MB, whatever the input.
+MAP_BITS = 1 << 23
+
+
+def likely_among(rows: DataFrame, key: Column, keys: DataFrame, bits_in_all: int = MAP_BITS) -> DataFrame:
+    """``rows`` without most of those whose ``key`` (long, not null) is not in ``keys``' only column; none that is in it goes.
+
+    The keys set bits of a map of fixed size, which is broadcast. A fuller map lets more rows pass: a join must follow.
+    """
+    piece = 1 << 15  # what one aggregate of Spark holds
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits_in_all))
+    at = keys.select(place(F.col(f"`{keys.columns[0]}`")).alias("at"))
+    bits = at.groupBy(F.floor(F.col("at") / piece).alias("__piece")).agg(F.bitmap_construct_agg(F.col("at") % piece).alias("__bits"))
+    byte = F.substring("__bits", (F.floor((F.col("__at") % piece) / 8) + 1).cast("int"), F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.col("__at") % 8).cast("int")) == 1
+    placed = rows.withColumn("__at", place(key)).withColumn("__piece", F.floor(F.col("__at") / piece))
+    return placed.join(F.broadcast(bits), "__piece").where(is_set).drop("__at", "__piece", "__bits")
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
@@ -50,26 +67,58 @@ def later_copies(docs: DataFrame) -> DataFrame:
     return salted.join(spread, ["digest", "salt"]).where("doc_id > first_id").select("doc_id", "first_id", "digest").distinct()
 
 
+def _beside(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """``rows`` (u, v) with the m of their u; the rows of one u are dealt over SALTS tasks."""
+    spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("u", "v"), F.lit(SALTS)).cast("int")).join(spread, ["u", "salt"])
+
+
+def spanning(pairs: np.ndarray) -> np.ndarray:
+    """Fewest pairs that connect what ``pairs`` connect: each node with the least one it reaches."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for a, z in pairs.tolist():
+        a, z = find(a), find(z)
+        root[max(a, z)] = min(a, z)
+    return np.array([(x, find(x)) for x in list(root) if find(x) != x], np.int64).reshape(-1, 2)
+
+
+def _spanning_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [np.stack([b["u"].to_numpy(), b["v"].to_numpy()], 1) for b in batches]
+    if rows:
+        found = spanning(np.concatenate(rows))
+        yield pa.record_batch({"u": found[:, 0], "v": found[:, 1]})
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the smallest node that each node of an undirected graph can reach.
 
-    Alternates large-star and small-star steps until no edge changes. Each step is a minimum with map-side
-    aggregation and a join back, so a node with very many edges is never one group in one task; each round is
-    checkpointed to the shared folder. Nodes without edges are not returned.
+    Parts of at most EDGES_AT_ONCE edges or so are first replaced by spanning stars. Then large-star and small-star steps alternate
+    until no edge changes. Each step is a minimum with map-side aggregation and a join back in which the edges of one node are dealt
+    over SALTS tasks; each round is checkpointed to the shared folder. Nodes without edges are not returned.
     """
     spark = edges.sparkSession
     ready_to_checkpoint(spark)
-    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().checkpoint()
-    while True:
+    found = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().checkpoint()
+    links = found.repartition(found.count() // EDGES_AT_ONCE + 1, F.xxhash64("u", "v")).mapInArrow(_spanning_parts, "u long, v long").checkpoint()
+    while not _are_stars(links):
         both = links.union(links.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _beside(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        after = small.select("e.u", "e.v").where("u <> v").distinct().checkpoint()
-        size = after.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("k")).first()
-        # a forest of stars: each node has one parent, and no parent has one itself
-        if size.n == size.k and after.select(F.col("v").alias("u")).distinct().join(after, "u", "left_semi").isEmpty():
-            roots = after.select(F.col("v").alias("u"), "v").distinct()
-            return after.union(roots).select(F.col("u").alias("node"), F.col("v").alias("root"))
-        links = after
+        small = _beside(large, low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        links = small.select("e.u", "e.v").where("u <> v").distinct().checkpoint()
+    return links.union(links.select("v", "v").distinct()).toDF("node", "root")
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node has one parent, and no parent has one itself."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e"))
+    met = ends.groupBy("e.x").agg(F.sum("e.up").alias("parents"), F.min("e.up").alias("least"))
+    return met.where((F.col("parents") > 1) | ((F.col("parents") > 0) & (F.col("least") == 0))).isEmpty()

@@ -9,25 +9,27 @@ the classes, their number depends on the power of two below n, and a document si
 
 Frequencies come from one token in four, chosen by hash, counted over all documents: a prefix takes less than a fifth of the
 tokens, so clean documents stay inside the counted ones, and what is left out is ordered by hash. Signatures only propose. Documents
-linked by proposals form candidate groups, and a task compares the texts of a group by their whole sets, pairs already connected
-left out. A group beyond the size of a block is dealt into blocks, each compared in itself; then one document of every component found
+linked by proposals, with sizes that allow a link, form candidate groups, and a task verifies the pairs of a group by whole sets: those that share a token
+of their prefixes (in the group's own order of frequency) and are not connected already. A group beyond the size of a block is dealt
+into blocks, each compared in itself; then one document of every component found
 is compared with the others', which connects near copies of one text in linear work; only where a group still has several components, their
 documents meet in pairs of blocks. Tasks send on spanning forests of links, never all pairs.
 
 Defined results: lower-casing touches A-Z only; a document with fewer words than a shingle is one shingle; one without words, or null,
 has the empty set and no links; rows that share an id are one node, whose links are those of all its rows, each with its own count; a
-null id is a node of its own, returned as null; equal texts are linked through the smallest id without being compared.
+null id is a node of its own, returned as null (as is 2^63-1, which stands for it); equal texts are linked through the smallest id without being compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaero.llm.buckets import BLOB_SCHEMA, NO_ID, Layout, blob_table, by_target, in_buckets, layout, with_ids
-from quaero.llm.common import WS, components, drop_old_shuffles, later_copies, ready_to_checkpoint
+from quaero.llm.common import WS, components, later_copies, likely_among, ready_to_checkpoint, spanning
 
 #: Words hashed at once.
 PIECE = 1 << 18
@@ -35,8 +37,8 @@ PIECE = 1 << 18
 RARE = 24
 #: Sets below this size use single tokens only.
 SMALL = 64
-#: Bytes of text in one block of a candidate group.
-BLOCK_BYTES = 1 << 20
+#: Bytes of tokens (eight each) in one block of a candidate group.
+BLOCK_BYTES = 1 << 24
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -139,7 +141,7 @@ def signatures(tokens: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray
 
 
 _TOKEN = np.dtype([("t", "<u4"), ("n", "<u1")])
-_SIGN = np.dtype([("s", "<u8"), ("id", "<i8")])
+_SIGN = np.dtype([("s", "<u8"), ("id", "<i8"), ("n", "<u4")])
 
 
 def _counted(tokens: np.ndarray) -> np.ndarray:
@@ -209,7 +211,7 @@ def _sign(width: int, percent: int, plan: Layout):
                 rank[counted] = np.where(known["t"][at] == short, np.where(known["n"][at] > RARE, 3, 1), 0)
             s = signatures(tokens, rank, percent)
             table = np.empty(len(s), _SIGN)
-            table["s"], table["id"] = s, i
+            table["s"], table["id"], table["n"] = s, i, len(tokens)
             signs.append(table)
         b = key[0].as_py()
         out = [(-1 - b % plan.key_buckets, b, np.array(sizes, np.int64).tobytes())]
@@ -221,68 +223,90 @@ def _sign(width: int, percent: int, plan: Layout):
     return run
 
 
-def _propose(key: tuple, rows: pa.Table) -> pa.Table:
-    """Pass 4: (u, v) for documents with a common signature, as stars around the least id of each; (u, null, n) for sizes."""
-    if key[0].as_py() < 0:
-        sizes = np.concatenate([np.frombuffer(x, np.int64) for x in rows["blob"].to_pylist()]).reshape(-1, 2)
-        return pa.table({"u": sizes[:, 0], "v": pa.nulls(len(sizes), pa.int64()), "n": sizes[:, 1]})
-    table = np.concatenate([np.frombuffer(x, _SIGN) for x in rows["blob"].to_pylist()])
-    table = table[np.lexsort((table["id"], table["s"]))]
-    first = np.flatnonzero(np.concatenate([[True], table["s"][1:] != table["s"][:-1]]))
-    least = np.repeat(table["id"][first], np.diff(np.append(first, len(table))))
-    pairs = np.unique(np.stack([table["id"], least], 1)[table["id"] != least], axis=0).reshape(-1, 2)
-    return pa.table({"u": pairs[:, 0], "v": pairs[:, 1], "n": pa.nulls(len(pairs), pa.int64())})
+def _propose(percent: int):
+    """Pass 4: (u, v) that connect documents with a common signature and sizes that allow a link; (u, null, n) for sizes.
+
+    In order of size, documents between two that could be linked could be linked to their neighbours too, so a signature's list
+    is cut where neighbours are too unlike.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            sizes = np.concatenate([np.frombuffer(x, np.int64) for x in rows["blob"].to_pylist()]).reshape(-1, 2)
+            return pa.table({"u": sizes[:, 0], "v": pa.nulls(len(sizes), pa.int64()), "n": sizes[:, 1]})
+        table = np.concatenate([np.frombuffer(x, _SIGN) for x in rows["blob"].to_pylist()])
+        table = table[np.lexsort((table["id"], table["n"], table["s"]))]
+        n = table["n"].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (table["s"][1:] != table["s"][:-1]) | (100 * n[:-1] < percent * n[1:])]))
+        head = np.repeat(table["id"][first], np.diff(np.append(first, len(table))))
+        pairs = spanning(np.unique(np.stack([table["id"], head], 1)[table["id"] != head], axis=0).reshape(-1, 2))
+        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1], "n": pa.nulls(len(pairs), pa.int64())})
+
+    return run
 
 
 def forest(sets: list[np.ndarray], percent: int, skip: np.ndarray | None = None, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect the sets just as all pairs with enough similarity would. ``skip``: blocks, inside which all pairs are compared already;
-    ``joined``: components that are known."""
+    """Links that connect the (non-empty) sets just as all pairs with enough similarity would. ``skip``: blocks, inside which all pairs are compared
+    already; ``joined``: components that are known.
+
+    Tokens are ordered by their number in these sets, rarest first; two similar sets share a token of their prefixes, so a set is compared
+    with smaller ones that a list of prefix tokens gives and that are not connected with it yet.
+    """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(sizes, kind="stable")
     root = np.arange(n) if joined is None else np.unique(joined, return_inverse=True)[1]
-    tokens, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    inside: dict[int, list[int]] = {}
+    for k, r in enumerate(root.tolist()):
+        inside.setdefault(r, []).append(k)
+    tokens, dense, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    by_number = np.empty(len(tokens), np.int64)
+    by_number[np.argsort(often, kind="stable")] = np.arange(len(tokens))
+    once = int((often == 1).sum())  # ranks below are tokens of a single set
     ends = np.cumsum(sizes)
-    own = [dense[ends[i] - sizes[i] : ends[i]] for i in range(n)]
-    flat = np.concatenate([own[i] for i in order])
-    starts = np.concatenate([[0], np.cumsum(sizes[order])])
+    own = [np.sort(by_number[dense[ends[i] - sizes[i] : ends[i]]]) for i in range(n)]
+    prefix = []
+    for s in own:
+        head = s[: len(s) - needed(len(s), percent) + 1]
+        prefix.append(head[np.searchsorted(head, once) :])
+    room = np.bincount(np.concatenate(prefix), minlength=len(tokens)) if n else np.zeros(0, np.int64)
+    begin = np.cumsum(room) - room
+    filled = np.zeros(len(tokens), np.int64)
+    listed = np.empty(int(room.sum()), np.int64)  # for each token, places in order of those sets that have it in their prefix
     mark = np.zeros(len(tokens), bool)
     links, pivot = [], None
 
-    def similar(i: int, j: int) -> bool:
-        small, large = sorted((sizes[i], sizes[j]))
-        if 100 * small < percent * large:
-            return False
-        common = int(mark[own[j]].sum())
-        return 100 * common >= percent * (sizes[i] + sizes[j] - common)
+    def similar(i: int, others: np.ndarray) -> np.ndarray:
+        common = np.add.reduceat(mark[np.concatenate([own[j] for j in others])], np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+        return others[100 * common >= percent * (sizes[i] + sizes[others] - common)]
 
     def join(i: int, j: int) -> None:
         links.append((i, j))
-        a, z = root[i], root[j]
-        root[root == max(a, z)] = min(a, z)
+        a, z = sorted((int(root[i]), int(root[j])), key=lambda r: len(inside[r]))
+        root[inside[a]] = z
+        inside[z] += inside.pop(a)
 
-    for k in range(1, n):
+    for k in range(n):
         i = int(order[k])
         mark[own[i]] = True
-        if pivot is not None and root[pivot] != root[i] and (skip is None or skip[pivot] != skip[i]) and similar(i, pivot):
+        if pivot is not None and root[pivot] != root[i] and (skip is None or skip[pivot] != skip[i]) and 100 * sizes[pivot] >= percent * sizes[i] and len(similar(i, np.array([pivot]))):
             join(i, pivot)
-        low = int(np.searchsorted(sizes[order[:k]] * 100, percent * sizes[i]))
-        rest = low + np.flatnonzero(root[order[low:k]] != root[i])
-        if skip is not None and len(rest):
-            rest = rest[skip[order[rest]] != skip[i]]
-        if len(rest) > 32:
-            common = np.add.reduceat(mark[flat[starts[low] : starts[k]]], starts[low:k] - starts[low], dtype=np.int64)[rest - low]
-            other = order[rest]
-            hits = other[100 * common >= percent * (sizes[i] + sizes[other] - common)].tolist()
-        else:
-            hits = [j for j in order[rest].tolist() if similar(i, j)]
-        for j in hits:
-            if root[i] != root[j]:
-                join(i, j)
-        if hits:
-            pivot = hits[-1]
-        elif pivot is None or root[pivot] != root[i]:
-            pivot = pivot if pivot is not None else i
+        mine, many = prefix[i], filled[prefix[i]]
+        if many.any():
+            at = np.repeat(begin[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            met = np.unique(listed[at])
+            other = order[met]
+            other = other[(100 * sizes[other] >= percent * sizes[i]) & (root[other] != root[i])]
+            if skip is not None:
+                other = other[skip[other] != skip[i]]
+            if len(other):
+                for j in similar(i, other).tolist():
+                    pivot = j
+                    if root[i] != root[j]:
+                        join(i, j)
+        pivot = i if pivot is None else pivot
+        listed[begin[mine] + many] = k
+        filled[mine] += 1
         mark[own[i]] = False
     return links
 
@@ -291,7 +315,10 @@ def _compare(width: int, percent: int):
     """Pass 5: the links of one block of a candidate group, or between two blocks."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.filter(pc.not_equal(pc.fill_null(pc.utf8_trim(rows["text"], " \t\n\x0b\x0c\r"), ""), ""))
         ids = rows["doc_id"].to_pylist()
+        if not ids:
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         sets = [shingle_set((t or "").encode(), width) for t in rows["text"].to_pylist()]
         across = key[1].as_py() != key[2].as_py()
         found = forest(sets, percent, rows["block"].to_numpy() if across else None, rows["comp"].to_numpy() if across else None)
@@ -317,13 +344,12 @@ def _in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def _verified(members: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v): links that connect the members (label, doc_id, text) of each candidate group as all pairs with enough similarity would."""
-    dealt = _in_blocks(members.withColumn("comp", F.col("doc_id")), sizes).checkpoint()
-    drop_old_shuffles(dealt.sparkSession)
+    dealt = _in_blocks(members.withColumn("comp", F.col("doc_id")), sizes)
+    if sizes.groupBy("label").agg(F.sum("size").alias("size")).where(F.col("size") > BLOCK_BYTES).isEmpty():
+        return _links(dealt, width, percent, pairs=False)
+    dealt = dealt.checkpoint()
     links = _links(dealt, width, percent, pairs=False).checkpoint()
-    large = dealt.where("blocks > 1")
-    if large.isEmpty():
-        return links
-    return links.union(_across(large, links, width, percent))
+    return links.union(_across(dealt.where("blocks > 1"), links, width, percent))
 
 
 def _across(large: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
@@ -352,21 +378,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     counts = together(notes).applyInArrow(_count_tokens(width, plan), BLOB_SCHEMA)
     known = counts.groupBy("bucket").applyInArrow(_repeated_tokens, BLOB_SCHEMA)
     signed = together(notes.union(known)).applyInArrow(_sign(width, percent, plan), BLOB_SCHEMA)
-    proposed = signed.groupBy("bucket").applyInArrow(_propose, "u long, v long, n long").checkpoint()
-    drop_old_shuffles(docs.sparkSession)
+    proposed = signed.groupBy("bucket").applyInArrow(_propose(percent), "u long, v long, n long").checkpoint()
+    sizes = proposed.where("v is null").select(F.col("u").alias("doc_id"), F.col("n").alias("n_shingles"))
 
     groups = components(proposed.where("v is not null"), "u", "v").select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
+    candidates = likely_among(ids, F.col("doc_id"), groups.select("doc_id")).join(groups, "doc_id")
     # A copy is one row's text: other rows of its id are compared.
-    gone = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("gone"))
-    members = ids.join(groups, "doc_id").join(gone, "doc_id", "left")
-    members = members.where(F.col("gone").isNull() | ~F.array_contains("gone", F.sha2("text", 256))).select("label", "doc_id", "text")
-    sizes = ids.select("doc_id", F.octet_length("text").alias("size")).join(groups, "doc_id").select("label", "size")
-    links = _verified(members, sizes, width, percent)
+    members = candidates.withColumn("digest", F.sha2("text", 256)).join(copies.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti").select("label", "doc_id", "text")
+    weights = sizes.join(groups, "doc_id").select("label", (8 * F.col("n_shingles")).alias("size")).checkpoint()
+    links = _verified(members, weights, width, percent)
 
-    drop_old_shuffles(docs.sparkSession)
     roots = components(links.union(copies.select("doc_id", "first_id")), "u", "v")
-    counted = proposed.where("v is null").select(F.col("u").alias("doc_id"), F.col("n").alias("n_shingles"))
-    joined = counted.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
+    joined = sizes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
     bare = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return joined.select(bare("doc_id"), "n_shingles", bare("component_id"))
 
