@@ -26,10 +26,11 @@ class Layout:
     key_buckets: int
 
 
-def layout(docs: DataFrame) -> Layout:
-    """Numbers of buckets that follow the size of the texts."""
+def layout(docs: DataFrame, key_bytes: int | None = None) -> Layout:
+    """Numbers of buckets that follow the size of the texts: one of keys for each ``key_bytes`` of text; if none are said, at least the shuffle's partitions."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    return Layout(total // BUCKET_BYTES + 1, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (BUCKET_BYTES * 32) + 1))
+    keys = total // key_bytes + 1 if key_bytes else max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (BUCKET_BYTES * 32) + 1)
+    return Layout(total // BUCKET_BYTES + 1, keys)
 
 
 def with_ids(docs: DataFrame) -> DataFrame:
@@ -41,13 +42,12 @@ def in_buckets(rows: DataFrame, plan: Layout) -> DataFrame:
     return rows.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(plan.buckets)))
 
 
-def by_target(targets: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def by_target(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(target, the positions that go there), positions in their order."""
     order = np.argsort(targets, kind="stable")
-    ends = np.searchsorted(targets[order], np.arange(n + 1))
-    for t in range(n):
-        if ends[t] < ends[t + 1]:
-            yield t, order[ends[t] : ends[t + 1]]
+    found, first = np.unique(targets[order], return_index=True)
+    for t, part in zip(found.tolist(), np.split(order, first[1:]), strict=True) if len(found) else ():
+        yield t, part
 
 
 def blob_table(rows: list[tuple]) -> pa.Table:

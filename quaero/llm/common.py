@@ -106,7 +106,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     spark = edges.sparkSession
     ready_to_checkpoint(spark)
     found = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct().checkpoint()
-    links = found.repartition(found.count() // EDGES_AT_ONCE + 1, F.xxhash64("u", "v")).mapInArrow(_spanning_parts, "u long, v long").checkpoint()
+    links = found.coalesce(found.count() // EDGES_AT_ONCE + 1).mapInArrow(_spanning_parts, "u long, v long").checkpoint()
     while not _are_stars(links):
         both = links.union(links.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

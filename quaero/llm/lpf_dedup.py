@@ -136,7 +136,7 @@ def _keys_once(length: int, plan: Layout):
         keys, n = np.unique(np.concatenate(found), return_counts=True)
         keys = np.concatenate([keys, keys[n > 1]])
         b = key[0].as_py()
-        return blob_table([(t, b, keys[i].tobytes()) for t, i in by_target((keys % np.uint64(plan.key_buckets)).astype(np.int64), plan.key_buckets)])
+        return blob_table([(t, b, keys[i].tobytes()) for t, i in by_target((keys % np.uint64(plan.key_buckets)).astype(np.int64))])
 
     return run
 
@@ -189,7 +189,7 @@ def _send(length: int, plan: Layout):
         out = []
         if metas:
             meta = np.array(metas, _META)
-            for t, idx in by_target((meta["key"] % np.uint64(plan.key_buckets)).astype(np.int64), plan.key_buckets):
+            for t, idx in by_target((meta["key"] % np.uint64(plan.key_buckets)).astype(np.int64)):
                 out.append((t, b, len(idx).to_bytes(4, "little") + meta[idx].tobytes() + b"".join(contents[i] for i in idx)))
         if settled:
             out.append((-1 - b % plan.key_buckets, b, np.array(settled, _RUN).tobytes()))
@@ -272,7 +272,7 @@ def _settle(length: int):
             return blob_table([])
         table = np.array([r[1:] for r in runs], _RUN)
         buckets = rows["b"].to_pylist()
-        return blob_table([(0, buckets[k], table[idx].tobytes()) for k, idx in by_target(np.array([r[0] for r in runs]), len(buckets))])
+        return blob_table([(0, buckets[k], table[idx].tobytes()) for k, idx in by_target(np.array([r[0] for r in runs]))])
 
     return run
 

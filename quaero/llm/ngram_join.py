@@ -37,6 +37,8 @@ PIECE = 1 << 18
 RARE = 24
 #: Sets below this size use single tokens only.
 SMALL = 64
+#: Bytes of text whose signatures are one list: about a sixth of it. A bucket of keys sends on at most one pair for each document that it has.
+KEY_BYTES = 8 << 20
 #: Bytes of tokens (eight each) in one block of a candidate group.
 BLOCK_BYTES = 1 << 24
 
@@ -169,7 +171,7 @@ def _count_tokens(width: int, plan: Layout):
         t, n = np.unique(np.concatenate(found), return_counts=True)
         table = np.empty(len(t), _TOKEN)
         table["t"], table["n"] = t, np.minimum(n, 255)
-        return blob_table([(k, key[0].as_py(), table[i].tobytes()) for k, i in by_target((t % np.uint32(plan.key_buckets)).astype(np.int64), plan.key_buckets)])
+        return blob_table([(k, key[0].as_py(), table[i].tobytes()) for k, i in by_target((t % np.uint32(plan.key_buckets)).astype(np.int64))])
 
     return run
 
@@ -217,7 +219,7 @@ def _sign(width: int, percent: int, plan: Layout):
         out = [(-1 - b % plan.key_buckets, b, np.array(sizes, np.int64).tobytes())]
         if signs:
             table = np.concatenate(signs)
-            out += [(k, b, table[i].tobytes()) for k, i in by_target((table["s"] % np.uint64(plan.key_buckets)).astype(np.int64), plan.key_buckets)]
+            out += [(k, b, table[i].tobytes()) for k, i in by_target((table["s"] % np.uint64(plan.key_buckets)).astype(np.int64))]
         return blob_table(out)
 
     return run
@@ -367,7 +369,7 @@ def _across(large: DataFrame, links: DataFrame, width: int, percent: int) -> Dat
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the smallest id reachable over links of at least ``percent`` similarity."""
     ready_to_checkpoint(docs.sparkSession)
-    plan = layout(docs)
+    plan = layout(docs, KEY_BYTES)
     ids = with_ids(docs)
     copies = later_copies(ids.where(F.col("text").rlike(f"[^{WS}]"))).checkpoint()
     texts = in_buckets(ids, plan).withColumn("digest", F.unhex(F.sha2("text", 256)))
