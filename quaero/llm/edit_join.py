@@ -3,8 +3,7 @@
 Of two lines within ``edits`` edits, one cut into ``edits + 1`` segments keeps a segment unchanged in the other. Every distinct
 line is an entry under each of its segments (with its length and the segment's number) and looks itself up, for each
 length that a partner may have, under the few substrings at which such a segment can stand: those whose shift leaves enough edits
-on both sides. Candidates are compared by their whole texts with the built-in banded edit distance (a native expression; a
-bit-parallel one would need a loop per row in Python).
+on both sides. Candidates are compared by their whole texts with the built-in banded edit distance, a native expression.
 
 A line is removed if it occurred before, or if an earlier different line (by id, then line number) is within ``edits`` edits of it.
 Lines are known by 64-bit hashes (two different lines share one with a chance of 2^-64 for each pair); near lines are decided by their texts. A line
@@ -19,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaero.llm.common import WS_CHARS, ready_to_checkpoint
+from quaero.llm.common import WS_CHARS, likely_among, ready_to_checkpoint
 
 EDITS = 2
 LEAST = 16
+#: Bits of the map of keys that is broadcast: 8 MB, whatever the input.
+MAP_BITS = 1 << 26
 
 
 def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
@@ -43,7 +44,7 @@ def entries(raw: Column, n: Column, edits: int) -> Column:
 
 
 def lookups(raw: Column, n: Column, edits: int) -> Column:
-    """Keys under which a partner that is as long, or up to ``edits`` shorter, may stand; null where a place would be outside the line."""
+    """Keys under which a partner that is as long, or up to ``edits`` shorter, may stand, but for those of ``entries``; null where a place would be outside the line."""
     found = []
     for shorter in range(edits + 1):
         partner = n - shorter
@@ -51,7 +52,8 @@ def lookups(raw: Column, n: Column, edits: int) -> Column:
             start, size = _segment(partner, i, edits + 1)
             for shift in range(max(1 - i, shorter - (edits + 1 - i)), min(i - 1, shorter + (edits + 1 - i)) + 1):
                 fits = (start + shift >= 1) & (start + shift + size - 1 <= n)
-                found.append(F.when(fits, _key(raw, partner, i, start + shift, size)))
+                if shorter or shift:
+                    found.append(F.when(fits, _key(raw, partner, i, start + shift, size)))
     return F.array(*found)
 
 
@@ -83,17 +85,19 @@ def line_places(docs: DataFrame) -> DataFrame:
 def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(a, z): ids of different lines within ``edits`` edits, each pair once; ``lines`` has (id, line), repeated at will.
 
-    Candidates are pairs of ids; only the lines among them travel once more, to be compared.
+    Look-ups whose key no line stands under stay in their task, told by a map of fixed size. Candidates are pairs of ids; only the lines
+    among them are read once more, to be compared.
     """
     ready_to_checkpoint(lines.sparkSession)
     long = lines.where(F.length("line") >= max(least, edits + 1)).select("id", "line")
-    sized = long.distinct().select("id", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("raw"))
+    sized = long.select("id", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("raw"))
     # Exploded as expressions: for an array column the optimizer would compute the array once more in a filter, down at the scan.
-    index = sized.select("id", F.explode(entries(F.col("raw"), F.col("n"), edits)).alias("key"))
+    index = sized.select("id", F.explode(entries(F.col("raw"), F.col("n"), edits)).alias("key")).distinct().checkpoint()
     asks = sized.select(F.col("id").alias("asker"), F.explode(lookups(F.col("raw"), F.col("n"), edits)).alias("key")).where("key is not null")
+    asks = likely_among(asks, F.col("key"), index.select("key"), MAP_BITS).distinct().union(index.select("id", "key"))
     found = index.join(asks, "key").where("id <> asker").select(F.least("id", "asker").alias("a"), F.greatest("id", "asker").alias("z")).distinct().checkpoint()
-    ids = found.select(F.explode(F.array("a", "z")).alias("id")).distinct()
-    texts = long.join(ids, "id", "left_semi").distinct()
+    ids = found.select(F.explode(F.array("a", "z")).alias("id")).distinct().checkpoint()
+    texts = likely_among(long, F.col("id"), ids).join(ids, "id", "left_semi").distinct()
     both = found.join(texts.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(texts.select(F.col("id").alias("z"), F.col("line").alias("z_line")), "z")
     near = both.where((F.abs(F.length("a_line") - F.length("z_line")) <= edits) & (F.levenshtein("a_line", "z_line", edits) >= 0))
     return near.select("a", "z").distinct()
