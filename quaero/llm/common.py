@@ -35,23 +35,28 @@ def ready_to_checkpoint(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quaero-checkpoint-"))
 
 
-#: Bits of the map by which rows are told apart before a shuffle: 1 MB, whatever the input.
+#: Bits of each of the maps by which rows are told apart before a shuffle: three times 1 MB, whatever the input.
 MAP_BITS = 1 << 23
 
 
-def likely_among(rows: DataFrame, key: Column, keys: DataFrame, bits_in_all: int = MAP_BITS) -> DataFrame:
+def likely_among(rows: DataFrame, key: Column, keys: DataFrame, bits: int = MAP_BITS) -> DataFrame:
     """``rows`` without most of those whose ``key`` (long, not null) is not in ``keys``' only column; none that is in it goes.
 
-    The keys set bits of a map of fixed size, which is broadcast. A fuller map lets more rows pass: a join must follow.
+    Each key sets one bit in each of three maps of fixed size (a power of two of at most 2^34 bits), which are broadcast. Fuller maps let more rows pass: a
+    join must follow, an inner one, since a semi-join would be moved below this.
     """
-    piece = 1 << 15  # what one aggregate of Spark holds
-    place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits_in_all))
-    at = keys.select(place(F.col(f"`{keys.columns[0]}`")).alias("at"))
-    bits = at.groupBy(F.floor(F.col("at") / piece).alias("__piece")).agg(F.bitmap_construct_agg(F.col("at") % piece).alias("__bits"))
-    byte = F.substring("__bits", (F.floor((F.col("__at") % piece) / 8) + 1).cast("int"), F.lit(1))
-    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.col("__at") % 8).cast("int")) == 1
-    placed = rows.withColumn("__at", place(key)).withColumn("__piece", F.floor(F.col("__at") / piece))
-    return placed.join(F.broadcast(bits), "__piece").where(is_set).drop("__at", "__piece", "__bits")
+    piece = 15  # 2^15 bits are what one aggregate of Spark holds
+    low = F.lit((1 << piece) - 1).cast("long")
+    spots = lambda h: [h.bitwiseAND(low), F.shiftrightunsigned(h, 34).bitwiseAND(low), F.shiftrightunsigned(h, 49).bitwiseAND(low)]
+    where = lambda h: F.shiftright(h.bitwiseAND(F.lit(bits - 1).cast("long")), piece)
+    hashed = keys.select(F.xxhash64(F.col(f"`{keys.columns[0]}`")).alias("__hash"))
+    maps = hashed.groupBy(where(F.col("__hash")).alias("__piece")).agg(*(F.bitmap_construct_agg(s).alias(f"__map{k}") for k, s in enumerate(spots(F.col("__hash")))))
+    is_set = lambda k, s: F.getbit(F.conv(F.hex(F.substring(f"__map{k}", (F.shiftright(s, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int"), s.bitwiseAND(F.lit(7).cast("long")).cast("int")) == 1
+    placed = rows.withColumn("__hash", F.xxhash64(key)).withColumn("__piece", where(F.col("__hash")))
+    met = placed.join(F.broadcast(maps), "__piece")
+    for k, s in enumerate(spots(F.col("__hash"))):
+        met = met.where(is_set(k, s))
+    return met.drop("__hash", "__piece", "__map0", "__map1", "__map2")
 
 
 def later_copies(docs: DataFrame) -> DataFrame:

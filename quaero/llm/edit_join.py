@@ -22,8 +22,8 @@ from quaero.llm.common import WS_CHARS, likely_among, ready_to_checkpoint
 
 EDITS = 2
 LEAST = 16
-#: Bits of the map of keys that is broadcast: 8 MB, whatever the input.
-MAP_BITS = 1 << 26
+#: Bits of each of the three maps of keys that are broadcast: 12 MB in all, whatever the input.
+MAP_BITS = 1 << 25
 
 
 def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
@@ -85,7 +85,7 @@ def line_places(docs: DataFrame) -> DataFrame:
 def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(a, z): ids of different lines within ``edits`` edits, each pair once; ``lines`` has (id, line), repeated at will.
 
-    Look-ups whose key no line stands under stay in their task, told by a map of fixed size. Candidates are pairs of ids; only the lines
+    Look-ups whose key no line stands under stay in their task, told by maps of fixed size. Candidates are pairs of ids; only the lines
     among them are read once more, to be compared.
     """
     ready_to_checkpoint(lines.sparkSession)
@@ -97,7 +97,7 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     asks = likely_among(asks, F.col("key"), index.select("key"), MAP_BITS).distinct().union(index.select("id", "key"))
     found = index.join(asks, "key").where("id <> asker").select(F.least("id", "asker").alias("a"), F.greatest("id", "asker").alias("z")).distinct().checkpoint()
     ids = found.select(F.explode(F.array("a", "z")).alias("id")).distinct().checkpoint()
-    texts = likely_among(long, F.col("id"), ids).join(ids, "id", "left_semi").distinct()
+    texts = likely_among(long, F.col("id"), ids).join(ids, "id").distinct()
     both = found.join(texts.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(texts.select(F.col("id").alias("z"), F.col("line").alias("z_line")), "z")
     near = both.where((F.abs(F.length("a_line") - F.length("z_line")) <= edits) & (F.levenshtein("a_line", "z_line", edits) >= 0))
     return near.select("a", "z").distinct()
