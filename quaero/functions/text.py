@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 #: Function words that never carry a query or an answer by themselves.
 STOP_WORDS = tuple(
-    "a about above after again against all am an and any are as at be because been before being below between both but by "
-    "can did do does doing down during each few for from further had has have having he her here hers him his how i if in "
-    "into is it its itself just me more most my no nor not now of off on once only or other our out over own same she should "
-    "so some such than that the their them then there these they this those through to too under until up very was we were "
-    "what when where which while who whom why will with you your".split()
+    (
+        "a able about across after all almost also am among an and any are as at be because been but by can cannot could "
+        "dear did do does either else ever every for from get got had has have he her hers him his how however i if in "
+        "into is it its just least let like likely may me might most must my neither no nor not of off often on only or "
+        "other our own rather said say says she should since so some than that the their them then there these they this "
+        "tis to too twas us wants was we were what when where which while who whom why will with would yet you your"
+    ).split()
 )
 ARTICLES = ("the", "a", "an")
 

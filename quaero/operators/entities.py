@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quaero.functions import text as T
 from quaero.functions.lexing import tokens
+from quaero.sources.shared import ready_to_checkpoint
 
 #: Entity types in the order in which they are listed.
 TYPE_ORDER = ("neurotransmitter", "gene", "enzyme", "protein", "disease", "drug", "molecular entity", "organism", "anatomical entity", "cellular component")
@@ -67,7 +69,7 @@ def focus_types(types: Column, term: Column) -> Column:
 
 
 def tag_text(text: str, known: dict[str, tuple[str, ...]], most: int = 8) -> dict[str, tuple[str, ...]]:
-    """Entities of a sentence, greedily left to right: from each token grow while the phrase has types, keep the longest; class nouns go at the end."""
+    """Entities of a sentence, greedily left to right: from each token grow while the phrase has types, keep the longest; of spellings that differ in case the first stays, class nouns go at the end."""
 
     def types(phrase: str) -> tuple[str, ...]:
         low = phrase.lower()
@@ -78,6 +80,7 @@ def tag_text(text: str, known: dict[str, tuple[str, ...]], most: int = 8) -> dic
 
     words = [t for t, _, _ in tokens(text)]
     found: dict[str, tuple[str, ...]] = {}
+    seen: set[str] = set()
     i = 0
     while i < len(words):
         if not any(c.isalnum() for c in words[i]) or words[i].lower() in T.STOP_WORDS:
@@ -89,7 +92,9 @@ def tag_text(text: str, known: dict[str, tuple[str, ...]], most: int = 8) -> dic
             best = j - i
         if best:
             phrase = " ".join(words[i : i + best])
-            found.setdefault(phrase, types(phrase))
+            if phrase.lower() not in seen:
+                seen.add(phrase.lower())
+                found[phrase] = types(phrase)
         i += max(best, 1)
     return {p: t for p, t in found.items() if p.lower() not in GENERIC_NOUNS}
 
@@ -168,18 +173,20 @@ def tagged_by_join(sentences: DataFrame, known: DataFrame, column: str = "senten
     return keyed.join(found, "__key", "left").withColumn("entities", run(F.col(column), F.col("__found"))).drop("__key", "__found")
 
 
-def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", first_only: bool = False, most: int = 32) -> DataFrame:
-    """(node, ancestor, depth): the closure of a hierarchy, cycles cut at ``most`` steps. With ``first_only`` a node follows its least parent only."""
+def ancestors(edges: DataFrame, child: str = "child", parent: str = "parent", first_only: bool = False, most: int | None = None) -> DataFrame:
+    """(node, ancestor, depth): the closure of a hierarchy, each pair at its least depth, so cycles end by themselves; ``most`` bounds the steps. With ``first_only`` a node follows its least parent only."""
     pairs = edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).where("node is not null and up is not null")
     pairs = pairs.groupBy("node").agg(F.min("up").alias("up")) if first_only else pairs.distinct()
-    closure = pairs.select("node", F.col("up").alias("ancestor"), F.lit(1).alias("depth"))
-    frontier = closure
-    for depth in range(2, most + 1):
+    ready_to_checkpoint(edges.sparkSession)
+    pairs = pairs.checkpoint()
+    closure = frontier = pairs.select("node", F.col("up").alias("ancestor"), F.lit(1).alias("depth"))
+    for depth in range(2, most + 1) if most else count(2):
         step = frontier.join(pairs.select(F.col("node").alias("ancestor"), "up"), "ancestor").select("node", F.col("up").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        frontier = step.join(closure, ["node", "ancestor"], "left_anti").persist()
+        frontier = step.join(closure, ["node", "ancestor"], "left_anti").checkpoint()
         if frontier.isEmpty():
             break
         closure = closure.unionByName(frontier)
+        closure = closure.checkpoint() if depth % 16 == 0 else closure  # a plan of few parts, however deep the hierarchy
     return closure
 
 

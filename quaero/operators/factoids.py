@@ -17,17 +17,17 @@ LEAST_NEARNESS, LEAST_FUZZY = 0.1, 0.8
 def candidates(sentences: DataFrame, focus: DataFrame, question_words: DataFrame, vectors: DataFrame, vocabulary: DataFrame, most: int = 100) -> DataFrame:
     """(qid, phrase, score) from (qid, doc_id, sid, sentence), (qid, focus, vector) and (qid, term).
 
-    Each phrase's best sub-phrase must be near the focus; phrases that say the question again are dropped; the rest is weighted by how often it occurs and how rare its words are.
+    Questions are judged apart: a phrase is held against the words and counted in the sentences of its own question only. Each phrase's best sub-phrase must be near the focus; phrases that say the question again are dropped; the rest is weighted by how often it occurs and how rare its words are.
     """
     phrases = A.candidate_phrases(sentences.select("doc_id", "sid", "sentence")).join(sentences.select("qid", "doc_id", "sid"), ["doc_id", "sid"]).select("qid", "phrase").distinct()
     subs = phrases.select("qid", "phrase", F.explode(T.sub_phrases(F.split("phrase", " "))).alias("sub"))
     known = R.phrase_vectors(subs.select(F.col("sub").alias("phrase")), vectors).withColumnRenamed("phrase", "sub")
     near = R.best_sub_phrase(subs.join(known, "sub", "left"), focus).where(F.col("cos") > LEAST_NEARNESS)
-    tokens = near.select(F.struct("qid", "phrase").alias("id"), F.posexplode(F.split(F.lower("phrase"), " ")).alias("pos", "term"))
-    same = R.fuzzy_match(tokens, question_words.select("term"), vectors, LEAST_FUZZY).where("matched").select("id.qid", "id.phrase")
+    tokens = near.select(F.struct("qid", "phrase").alias("id"), "qid", F.posexplode(F.split(F.lower("phrase"), " ")).alias("pos", "term"))
+    same = R.fuzzy_match(tokens, question_words.select("qid", "term"), vectors, LEAST_FUZZY, "qid").where("matched").select("id.qid", "id.phrase")
     kept = near.join(same, ["qid", "phrase"], "left_anti")
-    weights = VOC.phrase_weights(kept.select(F.lower("phrase").alias("phrase")), sentences.select("sentence"), vocabulary)
-    scored = kept.withColumn("__low", F.lower("phrase")).join(weights.select(F.col("phrase").alias("__low"), "factor"), "__low").withColumn("score", F.col("cos") * F.col("factor"))
+    weights = VOC.phrase_weights(kept.select("qid", F.lower("phrase").alias("phrase")), sentences.select("qid", "sentence"), vocabulary, "qid")
+    scored = kept.withColumn("__low", F.lower("phrase")).join(weights.select("qid", F.col("phrase").alias("__low"), "factor"), ["qid", "__low"]).withColumn("score", F.col("cos") * F.col("factor"))
     return A.top_per_question(scored, most, tie=["phrase"]).select("qid", "phrase", "score", "rank")
 
 

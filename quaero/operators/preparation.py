@@ -34,8 +34,10 @@ def negatives(rows: DataFrame, key: str, item: str, label: str, most: int, seed:
 
 
 def weighted_sample(rows: DataFrame, weight: str, n: int, seed: int) -> DataFrame:
-    """n rows without replacement, chances as weights: the least of exponential keys."""
-    return rows.orderBy(-F.log(F.rand(seed)) / F.col(weight)).limit(n)
+    """n rows without replacement, chances as weights: the least of exponential keys, made from the row's hash, so the partitioning does not matter. Equal rows
+    share their luck."""
+    chance = (F.pmod(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in rows.columns)), F.lit(1 << 53)) + 1) / F.lit(float(1 << 53))
+    return rows.orderBy(-F.log(chance) / F.col(weight)).limit(n)
 
 
 def split_by_lists(rows: DataFrame, key: str, lists: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -21,7 +21,8 @@ CLOSED = {
     **dict.fromkeys(("it", "they", "he", "she", "we", "you", "i"), "PRP"), **dict.fromkeys(("its", "their", "his", "her", "our", "your", "my"), "PRP$"),
     "(": "-LRB-", ")": "-RRB-", "[": "-LSB-", "]": "-RSB-", ",": ",", ".": ".", "?": ".", "!": ".", ":": ":", ";": ":",
 }
-DEFINITION_VERBS = ("is", "are", "was", "were", "define", "defined", "called", "known", "describe", "mean", "means", "explain", "what")
+#: Verbs of a question that asks for a definition.
+DEFINITION_VERBS = ("is", "are", "describe", "name", "list", "define", "explain", "defined", "described")
 COMMON_VERBS = ("list", "name", "define", "describe", "explain", "cause", "causes", "treat", "treats", "inhibit", "inhibits", "bind", "binds", "regulate", "regulates", "affect", "affects", "include",
                 "includes", "encode", "encodes", "target", "targets", "induce", "induces", "contain", "contains", "use", "uses", "show", "play", "plays", "interact", "interacts", "produce", "produces")
 AUXILIARY = ("is", "are", "was", "were", "be", "been", "do", "does", "did", "has", "have", "had", "can", "could")

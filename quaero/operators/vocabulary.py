@@ -54,20 +54,24 @@ def threshold_ngrams(ngrams: DataFrame, at_least: float, score: str = "freq") ->
     return ngrams.where((F.col(score) >= at_least) & ~F.contains("ngram", F.lit("_")) & ~F.arrays_overlap(F.split("ngram", " "), stop))
 
 
-def phrase_weights(phrases: DataFrame, sentences: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def phrase_weights(phrases: DataFrame, sentences: DataFrame, vocabulary: DataFrame, key: str | None = None) -> DataFrame:
     """(phrase, tf, idf, factor) for phrases of a question: ``factor`` is ln(1 + tf) * idf.
 
     tf counts word-bounded matches over all sentences, once more for each time the phrase is listed; idf is the phrase's weight, else the
     mean of its tokens' (unknown ones are 0). Phrases come as a small table, sentences as a large one: each task counts its own sentences.
+    With ``key``, phrases and sentences belong to it (a question) and are counted with each other only; it is the first column.
     """
-    listed = phrases.groupBy("phrase").agg(F.count(F.lit(1)).alias("times"))
-    hits = sentences.crossJoin(F.broadcast(listed)).select("phrase", "times", F.regexp_count(F.lower("sentence"), F.concat(F.lit(r"\b\Q"), F.lower("phrase"), F.lit(r"\E\b"))).alias("n"))
-    tf = hits.groupBy("phrase", "times").agg(F.sum("n").alias("n")).select("phrase", (F.col("n") * F.col("times")).alias("tf"))
-    own = listed.select("phrase").join(vocabulary.select(F.col("term").alias("phrase"), "weight"), "phrase", "left")
-    each = listed.select("phrase", F.explode(F.split("phrase", " ")).alias("term")).join(vocabulary.select("term", F.col("weight").alias("w")), "term", "left")
+    keys = [key] if key else []
+    listed = phrases.groupBy(*keys, "phrase").agg(F.count(F.lit(1)).alias("times"))
+    met = sentences.join(listed, key) if key else sentences.crossJoin(F.broadcast(listed))
+    hits = met.select(*keys, "phrase", "times", F.regexp_count(F.lower("sentence"), F.concat(F.lit(r"\b\Q"), F.lower("phrase"), F.lit(r"\E\b"))).alias("n"))
+    tf = hits.groupBy(*keys, "phrase", "times").agg(F.sum("n").alias("n")).select(*keys, "phrase", (F.col("n") * F.col("times")).alias("tf"))
+    once = listed.select("phrase").distinct()
+    own = once.join(vocabulary.select(F.col("term").alias("phrase"), "weight"), "phrase", "left")
+    each = once.select("phrase", F.explode(F.split("phrase", " ")).alias("term")).join(vocabulary.select("term", F.col("weight").alias("w")), "term", "left")
     mean = each.groupBy("phrase").agg(F.avg(F.coalesce("w", F.lit(0.0))).alias("mean"))
     idf = F.coalesce("weight", "mean")
-    return tf.join(own, "phrase").join(mean, "phrase").select("phrase", "tf", idf.alias("idf"), F.when(idf > 0, F.log(1 + F.col("tf")) * idf).otherwise(F.lit(0.0)).alias("factor"))
+    return tf.join(own, "phrase").join(mean, "phrase").select(*keys, "phrase", "tf", idf.alias("idf"), F.when(idf > 0, F.log(1 + F.col("tf")) * idf).otherwise(F.lit(0.0)).alias("factor"))
 
 
 def describe_lengths(rows: DataFrame, column: str) -> DataFrame:

@@ -15,12 +15,12 @@ from quaero.operators import vocabulary as VOC
 from quaero.queries import WORDS, query, table
 from quaero.sources import readers as RD
 from quaero.sources import writers as WR
+from quaero.sources.shared import shared_folder
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder where the driver and all executors can read: below the cluster's checkpoint folder, else below the warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/quaero-files/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/quaero-files/{uuid.uuid4().hex}"
 
 
 def _grouped(rows: DataFrame, path: str, items: str) -> None:
