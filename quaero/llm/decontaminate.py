@@ -122,23 +122,15 @@ def _judged(rows: DataFrame, docs: DataFrame, benchmark: DataFrame, window: int,
 
 
 def proximity_matches(docs: DataFrame, terms: list[str], span: int) -> DataFrame:
-    """(doc_id, start, end): shortest stretches from each posting of the rarest term within which all terms stand, ``span`` words wide at most.
+    """(doc_id, start, end): all shortest stretches of at most ``span`` words that hold every term: none has another inside.
 
-    A stretch holds the posting of the rarest term and the nearest posting of every other term that fits.
+    At each posting, the last posting of every term so far gives the stretch that ends there; of those with one start, the shortest stays.
     """
-    wanted = docs.sparkSession.createDataFrame([(t,) for t in sorted(set(terms))], "term string")
-    index = postings(docs, wanted, True)
-    n = {r.term: r.n for r in index.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(n) < len(set(terms)):
-        return docs.sparkSession.createDataFrame([], "doc_id long, start int, end int")
-    rarest = min(n, key=lambda t: (n[t], t))
-    pivots = index.where(F.col("term") == rarest).select("doc", F.col("pos").alias("pivot"))
-    others = index.where(F.col("term") != rarest)
-    near = pivots.join(others, "doc").where(F.abs(F.col("pos") - F.col("pivot")) < span)
-    nearest = Window.partitionBy("doc", "pivot", "term").orderBy(F.abs(F.col("pos") - F.col("pivot")), "pos")
-    best = near.withColumn("nth", F.row_number().over(nearest)).where("nth = 1")
-    if len(n) == 1:
-        return pivots.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), F.col("pivot").alias("start"), F.col("pivot").alias("end"))
-    met = best.groupBy("doc", "pivot").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high")).where(F.col("n") == len(n) - 1)
-    ends = met.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), F.least("low", "pivot").alias("start"), F.greatest("high", "pivot").alias("end"))
-    return ends.where(F.col("end") - F.col("start") < span)
+    wanted = sorted(set(terms))
+    index = postings(docs, docs.sparkSession.createDataFrame([(t,) for t in wanted], "term string"), True)
+    so_far = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = [F.last(F.when(F.col("term") == t, F.col("pos")), ignorenulls=True).over(so_far).alias(f"last{k}") for k, t in enumerate(wanted)]
+    names = [f"last{k}" for k in range(len(wanted))]
+    ends = index.select("doc", "pos", *last).dropna(subset=names)
+    stretch = ends.select("doc", (F.array_min(F.array(*names))).alias("start"), F.col("pos").alias("end")).where(F.col("end") - F.col("start") < span)
+    return stretch.groupBy("doc", "start").agg(F.min("end").alias("end")).select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "start", "end")

@@ -1,8 +1,9 @@
 """Substring deduplication with longest-previous-factor arrays.
 
 A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a document with a smaller id, or earlier in
-the same one. That is what the longest-previous-factor (LPF) array says: in suffix order, the nearest suffixes on either side
-that start earlier share the longest earlier match, so a window is a later copy if one of them agrees with it for ``length`` bytes.
+the same one. A longest-previous-factor (LPF) array would say so where it reaches ``length``. Only that threshold is asked for, so
+no LPF value is formed on the main path: windows of equal rank in suffix order stand in for it, the first of a class staying.
+``longest_previous_factor`` gives the array of one text.
 
 One suffix array of a corpus has no place in any task, so the suffixes are dealt out by content. Each window of
 ``length`` bytes is owned by its minimizer, the 32-byte string inside it with the least hash (the leftmost of several). Equal
@@ -320,7 +321,7 @@ def _cut(length: int):
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, spans of removed bytes, kept_sha256, kept): ``kept`` is the rest as bytes, since a cut may fall inside a character."""
-    assert GRAM < length < GRAM + 256, "a chunk's window count is one byte"
+    assert GRAM < length < GRAM + 255, "a chunk's window count is one byte"
     plan = layout(docs)
     ids = with_ids(docs)
     texts = in_buckets(ids, plan)
