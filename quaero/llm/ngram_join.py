@@ -144,6 +144,8 @@ def signatures(tokens: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray
 
 _TOKEN = np.dtype([("t", "<u4"), ("n", "<u1")])
 _SIGN = np.dtype([("s", "<u8"), ("id", "<i8"), ("n", "<u4")])
+#: A row's size n (v unused), or a link (n below 0).
+_NOTE = np.dtype([("u", "<i8"), ("v", "<i8"), ("n", "<i8")])
 
 
 def _counted(tokens: np.ndarray) -> np.ndarray:
@@ -192,8 +194,33 @@ def _repeated_tokens(key: tuple, rows: pa.Table) -> pa.Table:
     return blob_table(out)
 
 
+def _size_ranges(percent: int) -> np.ndarray:
+    """Least sizes of ranges inside which any two sizes allow a link."""
+    least = [1]
+    while least[-1] < 1 << 32:
+        least.append(100 * least[-1] // percent + 1)
+    return np.array(least, np.int64)
+
+
+def _fold(table: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the documents of one bucket with a common signature and sizes of one range, the smallest and the largest, and links from the others
+    to the smallest.
+
+    Signatures' lists connect the same documents as without this: whoever fits one of those left out fits one of those two, as a list is cut by sizes only.
+    """
+    table = table[np.lexsort((table["id"], table["n"], table["s"]))]
+    of = np.searchsorted(least, table["n"], "right")
+    turns = np.flatnonzero((table["s"][1:] != table["s"][:-1]) | (of[1:] != of[:-1])) + 1
+    first, last = np.concatenate([[0], turns]), np.concatenate([turns, [len(table)]]) - 1
+    stays = np.zeros(len(table), bool)
+    stays[first] = stays[last] = True
+    head = np.repeat(table["id"][first], last - first + 1)
+    return table[stays], spanning(np.unique(np.stack([table["id"], head], 1)[~stays], axis=0))
+
+
 def _sign(width: int, percent: int, plan: Layout):
-    """Pass 3: signatures by key, and the size of every row's set."""
+    """Pass 3: signatures by key, folded inside the bucket, and the size of every row's set."""
+    least = _size_ranges(percent)
 
     def run(key: tuple, docs: pa.Table, notes: pa.Table) -> pa.Table:
         known = np.concatenate([np.zeros(0, _TOKEN), *(np.frombuffer(x, _TOKEN) for x, k in zip(notes["blob"].to_pylist(), notes["bucket"].to_pylist(), strict=True) if k >= 0)])
@@ -201,7 +228,7 @@ def _sign(width: int, percent: int, plan: Layout):
         signs, sizes = [], []
         for i, text, copy in _texts(docs, notes):
             tokens = shingle_set(text, width)
-            sizes.append((i, len(tokens)))
+            sizes.append((i, 0, len(tokens)))
             if copy or not len(tokens):
                 continue
             rank = np.full(len(tokens), 2, np.uint8)
@@ -216,9 +243,10 @@ def _sign(width: int, percent: int, plan: Layout):
             table["s"], table["id"], table["n"] = s, i, len(tokens)
             signs.append(table)
         b = key[0].as_py()
-        out = [(-1 - b % plan.key_buckets, b, np.array(sizes, np.int64).tobytes())]
+        out = [(-1 - b % plan.key_buckets, b, np.array(sizes, _NOTE).tobytes())]
         if signs:
-            table = np.concatenate(signs)
+            table, links = _fold(np.concatenate(signs), least)
+            out.append((-1 - b % plan.key_buckets, b, np.array([(u, v, -1) for u, v in links.tolist()], _NOTE).tobytes()))
             out += [(k, b, table[i].tobytes()) for k, i in by_target((table["s"] % np.uint64(plan.key_buckets)).astype(np.int64))]
         return blob_table(out)
 
@@ -226,7 +254,7 @@ def _sign(width: int, percent: int, plan: Layout):
 
 
 def _propose(percent: int):
-    """Pass 4: (u, v) that connect documents with a common signature and sizes that allow a link; (u, null, n) for sizes.
+    """Pass 4: (u, v) that connect documents with a common signature and sizes that allow a link; (u, null, n) for sizes. Links found in pass 3 are handed on.
 
     In order of size, documents between two that could be linked could be linked to their neighbours too, so a signature's list
     is cut where neighbours are too unlike.
@@ -234,8 +262,9 @@ def _propose(percent: int):
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
-            sizes = np.concatenate([np.frombuffer(x, np.int64) for x in rows["blob"].to_pylist()]).reshape(-1, 2)
-            return pa.table({"u": sizes[:, 0], "v": pa.nulls(len(sizes), pa.int64()), "n": sizes[:, 1]})
+            notes = np.concatenate([np.frombuffer(x, _NOTE) for x in rows["blob"].to_pylist()])
+            column = lambda name, absent: pa.array(np.ascontiguousarray(notes[name]), pa.int64(), mask=absent)
+            return pa.table({"u": column("u", None), "v": column("v", notes["n"] >= 0), "n": column("n", notes["n"] < 0)})
         table = np.concatenate([np.frombuffer(x, _SIGN) for x in rows["blob"].to_pylist()])
         table = table[np.lexsort((table["id"], table["n"], table["s"]))]
         n = table["n"].astype(np.int64)

@@ -116,3 +116,25 @@ def test_word_hashes(monkeypatch):
     monkeypatch.setattr(J, "PIECE", 64)
     assert J.word_hashes(text).tolist() == whole.tolist()
     assert len(whole) == 152 and J.hash_long(b"end") == whole[-1] and len(J.word_hashes(b" \t ")) == 0
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_fold(percent):
+    """Lists of signatures connect the same documents whether or not buckets fold theirs first."""
+    rng = np.random.default_rng(percent)
+    n = 400
+    size = rng.integers(1, 400, n)
+    rows = np.unique(np.array([(s, i, size[i]) for i in range(n) for s in rng.integers(0, 60, 3)], J._SIGN))
+
+    def connected(rows, links):
+        pairs = [links]
+        for s in np.unique(rows["s"]):
+            mine = np.sort(rows[rows["s"] == s], order=["n", "id"])
+            fits = 100 * mine["n"][:-1].astype(np.int64) >= percent * mine["n"][1:].astype(np.int64)
+            pairs.append(np.stack([mine["id"][1:], mine["id"][:-1]], 1)[fits])
+        return {tuple(p) for p in J.spanning(np.concatenate(pairs)).tolist()}
+
+    parts = [J._fold(rows[rows["id"] % 3 == b], J._size_ranges(percent)) for b in range(3)]
+    folded, links = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    assert len(folded) < len(rows) and len(links)
+    assert connected(folded, links) == connected(rows, np.zeros((0, 2), np.int64))
