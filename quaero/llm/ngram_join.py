@@ -37,8 +37,8 @@ PIECE = 1 << 18
 RARE = 24
 #: Sets below this size use single tokens only.
 SMALL = 64
-#: Bytes of text whose signatures are one list: about a sixth of it. A bucket of keys sends on at most one pair for each document that it has.
-KEY_BYTES = 8 << 20
+#: Bytes of text whose signatures are one list: about a sixth of it. A list sends on at most one pair for each document that it has, so fewer lists repeat fewer pairs.
+KEY_BYTES = 16 << 20
 #: Bytes of tokens (eight each) in one block of a candidate group.
 BLOCK_BYTES = 1 << 24
 
