@@ -5,6 +5,10 @@ line is an entry under each of its segments (with its length and the segment's n
 length that a partner may have, under the few substrings at which such a segment can stand: those whose shift leaves enough edits
 on both sides. Candidates are compared by their whole texts with the built-in banded edit distance, a native expression.
 
+Lines of one key may be very many (a template, a common third) and are not paired then. What two of them have beside that segment is within
+``edits`` edits too, so it is cut into segments again, under the key so far; the same is done with keys of many lines found there, LEVELS times,
+after which two lines that meet have four fifths of their characters in common.
+
 A line is removed if it occurred before, or if an earlier different line (by id, then line number) is within ``edits`` edits of it.
 Lines are known by 64-bit hashes (two different lines share one with a chance of 2^-64 for each pair); near lines are decided by their texts. A line
 that a third of the corpus repeats is one entry after map-side aggregation.
@@ -24,6 +28,9 @@ EDITS = 2
 LEAST = 16
 #: Bits of each of the three maps of keys that are broadcast: 12 MB in all, whatever the input.
 MAP_BITS = 1 << 25
+#: Lines under one key, about, from which on they are told apart by further segments, and how often that is done.
+MANY = 16
+LEVELS = 3
 
 
 def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
@@ -43,18 +50,51 @@ def entries(raw: Column, n: Column, edits: int) -> Column:
     return F.array(*(_key(raw, n, i, *_segment(n, i, edits + 1)) for i in range(1, edits + 2)))
 
 
-def lookups(raw: Column, n: Column, edits: int) -> Column:
-    """Keys under which a partner that is as long, or up to ``edits`` shorter, may stand, but for those of ``entries``; null where a place would be outside the line."""
+def _places(n: Column, edits: int) -> list[tuple[int, int, int, Column, Column]]:
+    """(shorter, segment, shift, start, size) of every substring that a partner as long, or up to ``edits`` shorter, may have as that segment."""
     found = []
     for shorter in range(edits + 1):
-        partner = n - shorter
         for i in range(1, edits + 2):
-            start, size = _segment(partner, i, edits + 1)
+            start, size = _segment(n - shorter, i, edits + 1)
             for shift in range(max(1 - i, shorter - (edits + 1 - i)), min(i - 1, shorter + (edits + 1 - i)) + 1):
-                fits = (start + shift >= 1) & (start + shift + size - 1 <= n)
-                if shorter or shift:
-                    found.append(F.when(fits, _key(raw, partner, i, start + shift, size)))
-    return F.array(*found)
+                found.append((shorter, i, shift, (start + shift).cast("int"), size))
+    return found
+
+
+def _inside(n: Column, start: Column, size: Column) -> Column:
+    return (start >= 1) & (start + size - 1 <= n)
+
+
+def lookups(raw: Column, n: Column, edits: int) -> Column:
+    """Keys under which a partner that is as long, or up to ``edits`` shorter, may stand, but for those of ``entries``, the equally long first; null where a place would be outside the line."""
+    return F.array(*(F.when(_inside(n, start, size), _key(raw, n - shorter, i, start, size)) for shorter, i, shift, start, size in _places(n, edits) if shorter or shift))
+
+
+def _meet(index: DataFrame, asks: DataFrame, deeper: bool) -> DataFrame:
+    """Checkpointed (a, z, key): pairs of ids that meet under a key, or, for a key of many lines, each asker a with the key and no z.
+
+    A key of many lines is told from a quarter of the lines, chosen by hash; where that misses one, it costs pairs and no result. Its lines are
+    not paired: one of them, ``rep``, stands for it. Of two equally long lines, which would find each other, the larger id asks.
+    """
+    part = index.where(F.pmod(F.xxhash64("id"), F.lit(4)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
+    hot = part.where(F.col("n") >= (MANY // 4 if deeper else 1 << 62)).select("key", "rep")
+    stands = index.join(hot, "key", "left").where("rep is null or rep = id")
+    met = stands.join(asks, "key").where("rep is not null or id < asker or (id > asker and not even)")
+    own = F.col("rep").isNotNull()
+    return met.select(F.when(own, F.col("asker")).otherwise(F.least("id", "asker")).alias("a"), F.when(~own, F.greatest("id", "asker")).alias("z"), F.when(own, F.col("key")).alias("key")).distinct().checkpoint()
+
+
+def _rests(rows: DataFrame, edits: int) -> DataFrame:
+    """(id, key, raw, n, shorter, own): each row's line without each of its substrings that may be a partner's segment. Rows have (id, raw, n), and
+    from the second level on the key so far, how much shorter the partner is, and whether all cuts so far were the line's own segments."""
+    cuts = F.array(*(F.struct(F.lit(shorter).alias("shorter"), F.lit(not shorter and not shift).alias("own"), start.alias("start"), size.alias("size"), _key(F.col("raw"), F.col("n") - shorter, i, start, size).alias("key")) for shorter, i, shift, start, size in _places(F.col("n"), edits)))
+    cut = rows.withColumn("cut", F.explode(cuts)).where(_inside(F.col("n"), F.col("cut.start"), F.col("cut.size")))
+    if "key" in rows.columns:
+        cut = cut.where("cut.shorter = shorter")
+    before, after = F.substring("raw", F.lit(1), 4 * (F.col("cut.start") - 1)), F.substring("raw", 4 * (F.col("cut.start") + F.col("cut.size")) - 3, F.octet_length("raw"))
+    key = F.xxhash64("key", "cut.key") if "key" in rows.columns else F.col("cut.key")
+    own = F.col("own") & F.col("cut.own") if "key" in rows.columns else F.col("cut.own")
+    return cut.select("id", key.alias("key"), F.concat(before, after).alias("raw"), (F.col("n") - F.col("cut.size")).alias("n"), F.col("cut.shorter").alias("shorter"), own.alias("own"))
 
 
 def _with_offsets(docs: DataFrame) -> DataFrame:
@@ -82,6 +122,32 @@ def line_places(docs: DataFrame) -> DataFrame:
     return placed.where(F.length(F.btrim("line", F.lit(WS_CHARS))) > 0).select("doc", (F.col("before") + F.col("at")).alias("no"), "line")
 
 
+def _candidates(long: DataFrame, edits: int) -> DataFrame:
+    """(a, z): ids of lines that share a segment, and under a segment of many lines, further segments of what is left of them."""
+    sized = long.select("id", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("raw"))
+    # Exploded as expressions: for an array column the optimizer would compute the array once more in a filter, down at the scan.
+    index = sized.select("id", F.explode(entries(F.col("raw"), F.col("n"), edits)).alias("key")).distinct().checkpoint()
+    equally_long = sum(1 for shorter, _, shift, _, _ in _places(F.col("n"), edits) if not shorter and shift)
+    asks = sized.select(F.col("id").alias("asker"), F.posexplode(lookups(F.col("raw"), F.col("n"), edits)).alias("at", "key")).where("key is not null")
+    asks = asks.select("asker", "key", (F.col("at") < equally_long).alias("even"))
+    asks = likely_among(asks, F.col("key"), index.select("key"), MAP_BITS).distinct().union(index.select("id", "key", F.lit(True)))
+    met = _meet(index, asks, True)
+    found = met.where("z is not null").select("a", "z")
+    rows = None
+    for level in range(1, LEVELS + 1):
+        many = met.where("z is null").select(F.col("a").alias("id"), "key")
+        if many.isEmpty():
+            break
+        if rows is None:
+            ids = many.select("id").distinct()
+            rows = likely_among(sized, F.col("id"), ids).join(ids, "id").distinct()
+        rows = _rests(rows, edits).join(many, ["id", "key"]).checkpoint()
+        keys = _rests(rows, edits).select("id", "key", "shorter", "own")
+        met = _meet(keys.where("own").select("id", "key").distinct(), keys.select(F.col("id").alias("asker"), "key", (F.col("shorter") == 0).alias("even")).distinct(), level < LEVELS)
+        found = found.union(met.where("z is not null").select("a", "z"))
+    return found.distinct().checkpoint()
+
+
 def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(a, z): ids of different lines within ``edits`` edits, each pair once; ``lines`` has (id, line), repeated at will.
 
@@ -90,12 +156,7 @@ def near_pairs(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     """
     ready_to_checkpoint(lines.sparkSession)
     long = lines.where(F.length("line") >= max(least, edits + 1)).select("id", "line")
-    sized = long.select("id", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("raw"))
-    # Exploded as expressions: for an array column the optimizer would compute the array once more in a filter, down at the scan.
-    index = sized.select("id", F.explode(entries(F.col("raw"), F.col("n"), edits)).alias("key")).distinct().checkpoint()
-    asks = sized.select(F.col("id").alias("asker"), F.explode(lookups(F.col("raw"), F.col("n"), edits)).alias("key")).where("key is not null")
-    asks = likely_among(asks, F.col("key"), index.select("key"), MAP_BITS).distinct().union(index.select("id", "key"))
-    found = index.join(asks, "key").where("id <> asker").select(F.least("id", "asker").alias("a"), F.greatest("id", "asker").alias("z")).distinct().checkpoint()
+    found = _candidates(long, edits)
     ids = found.select(F.explode(F.array("a", "z")).alias("id")).distinct().checkpoint()
     texts = likely_among(long, F.col("id"), ids).join(ids, "id").distinct()
     both = found.join(texts.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(texts.select(F.col("id").alias("z"), F.col("line").alias("z_line")), "z")

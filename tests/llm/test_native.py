@@ -291,3 +291,29 @@ def test_lines_of_shared_ids(spark, odd):
 
 def test_hash_of_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_lines_of_a_template(spark, monkeypatch):
+    """Very many lines that share segments are told apart by further segments: no near pair is lost, with insertions and deletions between them."""
+    import random
+
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz é"
+    base = "".join(rng.choice(letters) for _ in range(60))
+    lines = set()
+    while len(lines) < 160:
+        line = list(rng.choice(sorted(lines)) if lines and rng.random() < 0.3 else base)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(line) + 1)
+            line[at : at + rng.randint(0, 1)] = rng.choice(["", *letters])
+        lines.add("".join(line))
+    lines |= {"ab" * 12, "ab" * 11 + "a", "ba" * 12, "ab" * 13}
+    chosen = sorted(lines)
+    want = {(x, y) for i, x in enumerate(chosen) for y in chosen[i + 1 :] if abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2}
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(chosen)], "id long, line string")
+    monkeypatch.setattr(E, "MANY", 8)
+    met, real = [], E._meet
+    monkeypatch.setattr(E, "_meet", lambda *a: met.append(real(*a)) or met[-1])
+    got = {(chosen[r.a], chosen[r.z]) for r in E.near_pairs(df).collect()}
+    assert want and got == want
+    assert len(met) == 1 + E.LEVELS and not met[-2].where("z is null").isEmpty()
