@@ -66,9 +66,10 @@ def features(text: bytes) -> np.ndarray:
     ids, n_words, n_symbols, n_upper, at = [], 0, 0, 0, 0
     while at < len(text):
         end = min(len(text), at + _PIECE)
-        if end < len(text):  # a piece ends at white space, if it has any
+        if end < len(text):  # a piece ends at white space: its last, or if it has none, the next one
             cut = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end))
-            end = cut + 1 if cut >= at else end
+            later = [x for x in (text.find(b" ", end), text.find(b"\n", end)) if x >= 0] if cut < at else [cut]
+            end = min(later, default=len(text) - 1) + 1
         raw = np.frombuffer(text, np.uint8, end - at, at)
         hashes = _words(_LOWER[raw])
         n_words += len(hashes)

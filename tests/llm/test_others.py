@@ -183,3 +183,10 @@ def test_pipeline(spark, tmp_path):
     assert max(sizes) - min(sizes) <= 1
     whole = P.run(spark, str(tmp_path))
     assert sorted(tuple(r) for r in whole.select("doc_id", "shard", "slot").collect()) == sorted(tuple(r) for r in now.select("doc_id", "shard", "slot").collect())
+
+
+@pytest.mark.parametrize("text", [b"x" * 100, b"ab " + b"y" * 90 + b" cd", b"z" * 50 + b"\n" + b"w" * 7 + b" ", b"a b c " * 30])
+def test_features_of_words_longer_than_a_piece(text, monkeypatch):
+    whole = O.features(text)
+    monkeypatch.setattr(O, "_PIECE", 16)
+    assert O.features(text).tolist() == whole.tolist()
