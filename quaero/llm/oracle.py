@@ -66,3 +66,52 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS node, doc_id AS reached FROM d UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(reached) FROM r WHERE node = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)"""
+
+_CRC_STEP = "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+
+TURN_REPAIR = rf"""
+WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+hurt AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda c: ord(c)::BIGINT)), {_CRC_STEP}), 4294967295) % 20 AS kind FROM given),
+copies AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hurt WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM copies),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM numbered),
+t AS (SELECT *, left(role, 1) AS first, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN seen > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || first NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id),
+ins(a, b, c, e) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (1, 2, 5, 'I'), (3, 2, 5, 'I'), (2, 3, 5, 'I'), (0, 3, 10, 'II'), (1, 3, 10, 'II')),
+step(fault, first, a, b, c, e) AS (
+  SELECT f, r, s, s, 2, 'D' FROM (VALUES ('b'), ('d'), ('t'), ('')) x(f), (SELECT DISTINCT first FROM t) y(r), (VALUES (0), (1), (2), (3)) z(s) UNION ALL
+  SELECT f, r, a, b, CASE WHEN f = 't' THEN 5 ELSE 0 END, 'K' FROM (VALUES ('t'), ('')) x(f), (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)) g(r, a, b) UNION ALL
+  SELECT f, r, a, b, CASE WHEN f = 't' THEN 6 ELSE 1 END, 'R' FROM (VALUES ('t'), ('')) x(f), (SELECT DISTINCT first FROM t) y(r), (VALUES (0, 2), (1, 2), (3, 2), (2, 3)) g(a, b)),
+w AS (SELECT conv_id, 0::BIGINT AS i, 0 AS s, 0::BIGINT AS cost, '' AS audit FROM n UNION ALL
+  SELECT conv_id, i, s, best.cost, best.audit FROM (SELECT t.conv_id, t.i, step.b AS s, min({{'cost': w.cost + ins.c + step.c, 'audit': w.audit || ins.e || step.e}}) AS best
+    FROM w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1 JOIN ins ON ins.a = w.s JOIN step ON step.a = ins.b AND step.fault = t.fault AND step.first = t.first GROUP BY t.conv_id, t.i, step.b)),
+done AS (SELECT conv_id, min({{'cost': cost + c, 'audit': audit || e}}) AS best FROM w JOIN n USING (conv_id) JOIN ins ON ins.a = s AND ins.b IN (0, 3) WHERE w.i = n.n GROUP BY conv_id),
+letters AS (SELECT conv_id, pos, substr(best.audit, pos, 1) AS letter FROM (SELECT conv_id, best, unnest(range(1, length(best.audit) + 1)) AS pos FROM done)),
+left_over AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS out FROM (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS i FROM letters) WHERE letter <> 'D'),
+begun AS (SELECT conv_id, max((out = 1 AND letter = 'K' AND t.first = 's')::INT) AS shift FROM left_over l LEFT JOIN t USING (conv_id, i) GROUP BY conv_id),
+said AS (SELECT l.conv_id, string_agg(CASE WHEN letter = 'K' THEN t.role WHEN (out - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE t.text END, chr(10) ORDER BY out) AS repaired
+  FROM left_over l JOIN begun USING (conv_id) LEFT JOIN t ON t.conv_id = l.conv_id AND t.i = l.i GROUP BY l.conv_id)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN n USING (conv_id) LEFT JOIN done USING (conv_id) LEFT JOIN said USING (conv_id)"""
+
+
+def _grams(k: int) -> str:
+    return f"SELECT lang, {k} AS k, array_to_string(w[i:i + {k - 1}], ' ') AS g FROM (SELECT lang, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM p WHERE len(w) >= {k})"
+
+
+COLLOCATIONS = rf"""
+WITH p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM
+  (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+f AS (SELECT lang, k, g, count(*) AS f FROM ({" UNION ALL ".join(map(_grams, range(1, 6)))}) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(g, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, c.k, g, c.f AS a, j, array_to_string(w[:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c),
+s AS (SELECT cuts.*, l.f AS l, r.f AS r, n.n, ((1000::HUGEINT * a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = x JOIN f r ON r.lang = cuts.lang AND r.g = y JOIN n ON n.lang = cuts.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+gone AS (SELECT DISTINCT a.lang, a.g FROM c a JOIN c z ON z.lang = a.lang AND z.k > a.k AND contains(' ' || z.g || ' ', ' ' || a.g || ' ') WHERE 100 * z.f >= 100 * a.f)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank, g AS phrase, a, l, r, n, score FROM b ANTI JOIN gone USING (lang, g)
+QUALIFY rank <= 2000"""

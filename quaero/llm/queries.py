@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaero.llm import chat_template, decontaminate, edit_join, lpf_dedup, merkle_audit, mixing, ngram_join, oracle, ordinal_grades, ring_shards, rule_lists
+from quaero.llm import chat_template, collocations, decontaminate, edit_join, lpf_dedup, merkle_audit, mixing, ngram_join, oracle, ordinal_grades, ring_shards, rule_lists, secret_scan, turn_repair
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,18 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(_table(spark, sf_dir, "conversations"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lpf_dedup": op1_lpf_dedup,
     "op2_ring_shards": op2_ring_shards,
@@ -78,13 +90,18 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_ordinal_grades": op9_ordinal_grades,
     "op10_mix_sources": op10_mix_sources,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_collocations": op12_collocations,
+    "op13_secret_scan": op13_secret_scan,
 }
 
-#: The others depend on hashes (op2, op10), on what was learned (op5, op9), or take SQL too long on whole tables (op7); tests hold them against brute force.
+#: The others depend on hashes (op2, op10), on what was learned (op5, op9), take SQL too long on whole tables (op7), or decode nested layers (op13); tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_lpf_dedup": oracle.LPF_DEDUP,
     "op3_merkle_audit": oracle.MERKLE_AUDIT,
     "op4_decontaminate": oracle.DECONTAMINATE,
     "op6_chat_template": oracle.CHAT_TEMPLATE,
     "op8_ngram_join": oracle.NGRAM_JOIN,
+    "op11_turn_repair": oracle.TURN_REPAIR,
+    "op12_collocations": oracle.COLLOCATIONS,
 }
