@@ -11,12 +11,16 @@ from quaero.functions import text as T
 from quaero.operators.entities import GENERIC_NOUNS
 
 
+#: Fixed value: characters that an answer has at least.
+LEAST_LENGTH = 40
+
+
 def split_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, sid, sentence): the sentences of every document, in order."""
     return docs.select(key, F.posexplode(T.sentences(F.col("text"))).alias("sid", "sentence"))
 
 
-def deduplicated(answers: DataFrame, least: int = 40, key: list[str] | None = None, tie: list[str] | None = None) -> DataFrame:
+def deduplicated(answers: DataFrame, least: int = LEAST_LENGTH, key: list[str] | None = None, tie: list[str] | None = None) -> DataFrame:
     """For each text (white space ignored) the answer with the best score, if it has ``least`` characters; a short one still stands for its text."""
     ties = tie or ["doc_id", "sid"]
     first = Window.partitionBy(*(key or []), "__key").orderBy(F.desc("score"), *ties)
@@ -40,29 +44,32 @@ def best_by(rows: DataFrame, key: list[str], score: str, tie: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def defines(sentence: Column, phrase: str) -> Column:
+def defines(sentence: Column, phrase: str | Column) -> Column:
     """Whether a sentence defines the phrase: ``such as P``, ``also called P``, ``P, a(n) word``, ``P are word``, or ``is`` right behind P."""
-    p = re.escape(phrase)
-    patterns = (rf"\s+such\s+as\s+{p}", rf"\s+also\s+called\s+{p}", rf"{p}\s*,\s*an?\s+\w+\s+", rf"{p}\s+are\s+\w+\s+")
+    if isinstance(phrase, str):
+        p, low = F.lit(re.escape(phrase)), F.lit(phrase.lower())
+    else:
+        p, low = F.regexp_replace(phrase, r"([^\p{L}\p{Nd}\s])", r"\\$1"), F.lower(phrase)
+    patterns = ("\\s+such\\s+as\\s+", p), ("\\s+also\\s+called\\s+", p), (p, "\\s*,\\s*an?\\s+\\w+\\s+"), (p, "\\s+are\\s+\\w+\\s+"), ("(?is)^(?:(?!", p, ").)*", p, r"[^\p{L}\p{Nd}]*(?-i:is[\s.]\s*\S)")
     found = F.lit(False)
-    for pattern in patterns:
-        found = found | sentence.rlike(pattern)
-    first = rf"(?is)^(?:(?!{p}).)*{p}[^\p{{L}}\p{{Nd}}]*(?-i:is[\s.]\s*\S)"
-    return F.contains(F.lower(sentence), F.lit(phrase.lower())) & (found | sentence.rlike(first))
+    for pieces in patterns:
+        found = found | F.rlike(sentence, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in pieces)))
+    return F.contains(F.lower(sentence), low) & found
 
 
 def definition_answers(sentences: DataFrame, phrase: str) -> DataFrame:
     return sentences.where(defines(F.col("sentence"), phrase)).withColumn("score", F.lit(1.0))
 
 
-def focus_scores(tagged: DataFrame, query_entities: list[str], focus_types: list[str]) -> DataFrame:
-    """Sentences with an entity of the focus's types that the query does not name, with ``focus_score`` 1 + the share of query entities that they have."""
-    asked = F.array(*map(F.lit, query_entities)).cast("array<string>")
-    types = F.array(*map(F.lit, focus_types)).cast("array<string>")
+def focus_scores(tagged: DataFrame, query_entities: list[str] | Column, focus_types: list[str] | Column) -> DataFrame:
+    """Sentences with an entity of the focus's types that the query does not name, with ``focus_score`` 1 + the share of query entities that they have. Entities and types are those of one
+    question, or columns where each row has those of its own."""
+    listed = lambda x: x if isinstance(x, Column) else F.array(*map(F.lit, x)).cast("array<string>")
+    asked, types = listed(query_entities), listed(focus_types)
     named = lambda e: F.array_contains(asked, e["phrase"])
     focus = F.size(F.filter("entities", lambda e: ~named(e) & F.arrays_overlap(e["types"], types)))
     shared = F.size(F.filter("entities", named))
-    score = 1 + shared / len(query_entities) if query_entities else F.lit(1.0)
+    score = F.when(F.size(asked) > 0, 1 + shared / F.size(asked)).otherwise(1.0)
     return tagged.withColumn("focus_count", focus).where("focus_count >= 1").withColumn("focus_score", score.cast("double"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaero.functions import text as T
+from quaero.sources.shared import ready_to_checkpoint
 
 
 def shuffled(key: Column, seed: int) -> Column:
@@ -13,6 +14,18 @@ def shuffled(key: Column, seed: int) -> Column:
     return (key * 48271 + seed * 69621) % 2147483647
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their place from 0 in an order over the whole table: a range sort, one count for each task, and a running sum of those counts. No task sees more
+    than its range; the sorted rows are kept in the shared checkpoint folder."""
+    ready_to_checkpoint(rows.sparkSession)
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    part, within = F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__part", before.alias("__before"))
+    return placed.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(name, within + F.col("__before")).drop("__at", "__part", "__before")
+
+
 def first_part(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``rows`` with ``part`` 'a' for the first n in shuffled order, else 'b'; a top-n and a join, no global sort."""
     chosen = rows.select(key).orderBy(shuffled(F.col(key), seed), key).limit(n).withColumn("__a", F.lit(True))
@@ -20,11 +33,11 @@ def first_part(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def k_folds(keys: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """(key, fold): equal runs of the shuffled keys, the last fold takes what is left over. Keys are questions: one row each, few of them."""
+    """(key, fold): equal runs of the shuffled keys, the last fold takes what is left over."""
     distinct = keys.select(key).distinct()
     size = distinct.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / k)).alias("size"))
-    order = Window.orderBy(shuffled(F.col(key), seed), key)
-    return distinct.withColumn("n", F.row_number().over(order) - 1).crossJoin(F.broadcast(size)).select(key, F.least(F.floor(F.col("n") / F.col("size")), F.lit(k - 1)).cast("int").alias("fold"))
+    placed = numbered(distinct.withColumn("__shuffled", shuffled(F.col(key), seed)), [F.col("__shuffled"), F.col(key)], "n")
+    return placed.crossJoin(F.broadcast(size)).select(key, F.least(F.floor(F.col("n") / F.col("size")), F.lit(k - 1)).cast("int").alias("fold"))
 
 
 def negatives(rows: DataFrame, key: str, item: str, label: str, most: int, seed: int) -> DataFrame:

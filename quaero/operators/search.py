@@ -55,20 +55,26 @@ def ladder_counts(docs: DataFrame, query: Query) -> list[tuple[Query, int]]:
     return [(q, row[k]) for k, q in enumerate(rungs)]
 
 
-def relax(docs: DataFrame, query: Query, enough: int = ENOUGH_DOCS, ensemble: bool = False) -> tuple[Query, str] | None:
-    """The rung to run and its connective: the first with ``enough`` matches. Past 1000 matches the last smaller one with more than 10 is used instead; with
-    no match at all it is the OR query, or None inside an ensemble."""
-    remembered, chosen, n = None, None, 0
-    for rung, n in ladder_counts(docs, query):
-        chosen = rung
+def chosen_rung(counts: Sequence[int], enough: int = ENOUGH_DOCS) -> int | None:
+    """The rung of a ladder to run, from the matches of each: the first with ``enough``. Past 1000 matches the last smaller one is used instead if it has more than 10;
+    None if the last that was looked at has no match."""
+    remembered, rung, n = None, None, 0
+    for rung, n in enumerate(counts):
         if n >= enough:
             break
         if n:
-            remembered = (rung, n)
-    if chosen is not None and n > TOO_MANY_DOCS and remembered and remembered[1] > FEW_DOCS:
-        return remembered[0], "AND"
-    if chosen is not None and n:
-        return chosen, "AND"
+            remembered = rung
+    if n > TOO_MANY_DOCS and remembered is not None and counts[remembered] > FEW_DOCS:
+        return remembered
+    return rung if n else None
+
+
+def relax(docs: DataFrame, query: Query, enough: int = ENOUGH_DOCS, ensemble: bool = False) -> tuple[Query, str] | None:
+    """The rung to run (:func:`chosen_rung`) and its connective; with no match it is the OR query, or None inside an ensemble."""
+    counted = ladder_counts(docs, query)
+    rung = chosen_rung([n for _, n in counted], enough)
+    if rung is not None:
+        return counted[rung][0], "AND"
     return None if ensemble or not query.groups else (query, "OR")
 
 

@@ -17,7 +17,9 @@ from quaero.operators import ranking as R
 from quaero.operators import scorers as S
 from quaero.operators import search
 from quaero.operators.vocabulary import lower_words
-from quaero.plans.query import Query, keyword_query
+from quaero.plans.batch import Keep, query_of, sentence_scores
+from quaero.plans.query import Query
+from quaero.sources.shared import ready_to_checkpoint
 from quaero.sources.writers import AnswerCache
 
 
@@ -43,15 +45,8 @@ class Engine:
         parsed = Q.parse(question)
         words = [w for w in parsed.words if any(c.isalnum() for c in w)]
         weights = self.weights(words)
-        keys = S.select_keywords(list(parsed.words), list(parsed.tags))
-        if mode in ("keyword", "rank"):
-            ordered = S.order_keywords(keys, weights) if mode == "rank" else keys
-            built = keyword_query(ordered, [len(ordered) - i for i in range(len(ordered))], weights=weights, by_rank=mode == "rank")
-        else:
-            built = Q.build_query(parsed, weights, keys if mode == "baseline-kw" else None)
-        types = self._types(t.text for p in built.parts for t in p.terms)
-        marked = built.map_terms(lambda t: t.__class__(**{**t.__dict__, "types": types.get(t.text.lower(), ())}))
-        return marked.grouped() if mode.startswith("baseline") else marked
+        built = query_of(question, weights, mode, {})
+        return query_of(question, weights, mode, self._types(t.text for p in built.parts for t in p.terms))
 
     def _types(self, terms: Iterable[str]) -> dict[str, tuple[str, ...]]:
         wanted = sorted({t.lower() for t in terms})
@@ -139,7 +134,6 @@ def ask_batch(docs: DataFrame, questions: DataFrame, vocabulary: DataFrame, vect
     hits = terms(docs).select("doc_id", "term").distinct().join(asked, "term")
     found = hits.groupBy("qid", "doc_id").agg(F.sum("weight").alias("s"))
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("s", 9)), "doc_id"))).where(F.col("n") <= docs_per_question).select("qid", "doc_id")
-    sentences = A.split_documents(docs).join(best, "doc_id")
-    each = sentences.select("qid", F.struct("doc_id", "sid").alias("sid"), F.explode(F.array_distinct(lower_words(F.col("sentence")))).alias("term"))
-    scored = R.rwmd(asked.select("qid", "term"), each, vectors, vocabulary).select("qid", "sid.doc_id", "sid.sid", "score")
-    return A.top_per_question(A.deduplicated(sentences.join(scored, ["qid", "doc_id", "sid"]), key=["qid"]), most)
+    ready_to_checkpoint(docs.sparkSession)
+    scored = sentence_scores(docs, best.checkpoint(), asked.select("qid", "term"), vectors, vocabulary, Keep(most))
+    return A.top_per_question(A.deduplicated(scored, key=["qid"]), most)

@@ -21,7 +21,7 @@ from quaero.operators import questions as Q
 from quaero.operators import ranking as R
 from quaero.operators import search as S
 from quaero.operators import vocabulary as VOC
-from quaero.plans.engine import ask_batch
+from quaero.plans.batch import ask_all, scored_sentences
 from quaero.plans.query import Part, Query, Term
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -277,16 +277,15 @@ def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VECTORS = f"""d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({WORDS})) AS term FROM documents) GROUP BY term),
 nd AS (SELECT count(*) AS n FROM documents), ne AS (SELECT count(*) AS n FROM embeddings), i AS (SELECT term, df, -ln(df / nd.n::DOUBLE) AS idf FROM d, nd), t AS (SELECT max(idf) AS top FROM i),
-k AS (SELECT term, idf / top AS weight, (row_number() OVER (ORDER BY df DESC, term) - 1) % ne.n AS vec_id FROM i, t, ne WHERE df >= 2), v AS (SELECT term, weight, embedding::DOUBLE[] AS e FROM k JOIN embeddings USING (vec_id))"""
+k AS (SELECT term, idf / top AS weight, (row_number() OVER (ORDER BY df DESC, term) - 1) % ne.n AS vec_id FROM i, t, ne ), v AS (SELECT term, weight, embedding::DOUBLE[] AS e FROM k JOIN embeddings USING (vec_id))"""
 
 
-def term_tables(spark: SparkSession, sf_dir: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(term, weight) and (term, embedding) of terms of ``least`` documents or more. A term's vector is the same for any ``least``: rarer ones stand behind it."""
+def term_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(term, weight) and (term, embedding) of all terms. The vocabulary is numbered and kept once; a vector joins only the terms that a query asks for."""
     docs, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     vocabulary = VOC.idf_weights(VOC.document_frequency(docs), docs.count())
-    vocabulary = vocabulary.where(F.col("df") >= least)
-    placed = vocabulary.withColumn("vec_id", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1) % e.count())
-    return vocabulary.select("term", "weight"), placed.select("term", "vec_id").join(e.select("vec_id", "embedding"), "vec_id").select("term", "embedding")
+    placed = P.numbered(vocabulary, [F.desc("df"), F.col("term")], "place").withColumn("vec_id", F.col("place") % e.count())
+    return placed.select("term", "weight"), placed.select("term", "vec_id").join(e.select("vec_id", "embedding"), "vec_id").select("term", "embedding")
 
 
 _RWMD = f"""WITH {SENTENCES}, {_VECTORS}, q AS (SELECT DISTINCT item_id AS qid, term FROM (SELECT item_id, unnest({WORDS}) AS term FROM benchmark WHERE item_id % 100 = 0)),
@@ -302,9 +301,9 @@ def rwmd_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every document for each question whose id is a multiple of ``EVERY``."""
     vocabulary, vectors = term_tables(spark, sf_dir)
     asked = VOC.terms(table(spark, sf_dir, "benchmark").where(_every("item_id")), "item_id").select(F.col("item_id").alias("qid"), "term")
-    words = sentence_split(spark, sf_dir).select(F.struct("doc_id", "sid").alias("sid"), F.explode(VOC.lower_words(F.col("sentence"))).alias("term"))
-    each = words.crossJoin(F.broadcast(asked.select("qid").distinct()))
-    return R.rwmd(asked, each, vectors, vocabulary).select("qid", "sid.doc_id", "sid.sid", F.round(F.col("score").cast("double"), 4).alias("score"))
+    probes = asked.agg(F.sort_array(F.collect_set("qid")).alias("qids"))
+    each = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(F.broadcast(probes))
+    return scored_sentences(each, asked, vectors, vocabulary).select("qid", "doc_id", "sid", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
 @query(_RWMD + """, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score::REAL::DOUBLE, 4) DESC, doc_id, sid)::INT AS rank FROM r) SELECT qid, doc_id, sid, rank FROM o WHERE rank <= 10""")
@@ -501,10 +500,11 @@ def question_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ask_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: every benchmark question against all documents, ten answers for each."""
+    """The flagship: every benchmark question against all documents, ten answers for each, by all retrieval strategies together."""
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    vocabulary, vectors = term_tables(spark, sf_dir, 1)
-    return ask_batch(table(spark, sf_dir, "documents").select("doc_id", "text"), questions, vocabulary, vectors)
+    vocabulary, vectors = term_tables(spark, sf_dir)
+    known = spark.createDataFrame(DICTIONARY, "term string, entity_type string")
+    return ask_all(table(spark, sf_dir, "documents"), questions, vocabulary, vectors, known, mode="ensemble")
 
 
 # Other names of queries that read whole tables, under which tests hold them against brute force.

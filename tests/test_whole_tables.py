@@ -64,7 +64,7 @@ def test_sentences_of_all_documents(spark, folder):
     texts = {d: " ".join(s).lower() for d, s in SENTENCES.items()}
     df = {w: sum(w in re.findall(r"\w+", t) for t in texts.values()) for w in WORDS}
     top = max(-math.log(n / len(texts)) for n in df.values() if n)
-    known = sorted((w for w in WORDS if df[w] >= 2), key=lambda w: (-df[w], w))
+    known = sorted((w for w in WORDS if df[w]), key=lambda w: (-df[w], w))
     weight = {w: -math.log(df[w] / len(texts)) / top for w in known}
     vector = {w: VECTORS[k % len(VECTORS)][1] for k, w in enumerate(known)}
     want = {}
