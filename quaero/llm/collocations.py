@@ -3,7 +3,7 @@
 Texts are cut into pieces and words once. Each task gathers the words of a language into blocks: a block's distinct words, and the block's words
 as numbers into them. Words that are frequent in all texts get an id in one shuffle and go back to their blocks. From then on a
 level k names phrases of k words: two neighbouring ids of level k - 1 are a pair, a block sends each of its distinct pairs once with its
-count, pairs that are frequent in all texts get an id, and that id replaces them in the blocks. So only pairs whose both halves
+count, the shuffle that brings a pair together gives it an id if it is frequent in all texts, and that id replaces it in the blocks. So only pairs whose both halves
 are frequent are ever counted, and blocks shrink from level to level.
 
 A pair's two ids point at its parents, the phrase without its last and without its first word. They give the counts of every first and last part (the
@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,12 @@ from quaero.sources.shared import ready_to_checkpoint
 
 #: Words after which the open blocks of a task are closed.
 BLOCK_WORDS = 1 << 21
+#: Bits of a block's number within its task.
+BLOCK_BITS = 20
 #: Pairs in one batch of a block's pairs.
 PAIRS_AT_ONCE = 1 << 16
+#: Frequent names that a task packs at once.
+NAMES_AT_ONCE = 1 << 20
 
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _PIECES, _WORDS = re.compile(r"[.,;:!?\x0A-\x0D]"), re.compile(r"[^\x20\x09]+")
@@ -67,16 +72,16 @@ class _Open:
 
 
 def _into_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, lang, words, counts, ids): ids are numbers into the words."""
-    block, blocks, size = TaskContext.get().partitionId() << 33, {}, 0
+    """(block, lang, words, counts, ids): the block's distinct words and their counts, joined by spaces, and the text as numbers of words."""
+    block, blocks, size = TaskContext.get().partitionId() << BLOCK_BITS, {}, 0
 
     def closed() -> Iterator[pa.RecordBatch]:
         nonlocal block, size
         for lang, b in blocks.items():
             ids = np.frombuffer(b.ids, np.int64)
-            counts = np.bincount(ids[ids >= 0], minlength=len(b.numbers))
-            row = [[block], [lang], [list(b.numbers)], [counts], [_packed(ids)]]
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+            counts = np.bincount(ids[ids >= 0], minlength=len(b.numbers)).tolist()
+            row = [block], [lang], [" ".join(b.numbers)], [" ".join(map(str, counts))], [_packed(ids)]
+            kinds = pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["block", "lang", "words", "counts", "ids"])
             block += 1
         blocks.clear()
@@ -95,14 +100,9 @@ def _into_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from closed()
 
 
-def _with_ids(frequent: DataFrame, k: int, longest: int) -> DataFrame:
-    """The rows with an ``id`` that no other row of any level has, fixed by a checkpoint."""
-    return frequent.withColumn("id", F.monotonically_increasing_id() * longest + (k - 1)).checkpoint()
-
-
-def _renamed(blocks: DataFrame, names: DataFrame, rename, schema: str) -> DataFrame:
+def _renamed(blocks: DataFrame, names: DataFrame, rename: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
     """Blocks with their ids replaced by ``rename``; ``names`` has the replacements of each block."""
-    return blocks.groupBy("block").cogroup(names.withColumnRenamed("block", "named").groupBy("named")).applyInArrow(rename, schema).checkpoint()
+    return blocks.groupBy("block").cogroup(names.withColumnRenamed("block", "named").groupBy("named")).applyInArrow(rename, "block long, ids binary").checkpoint()
 
 
 _SEQUENCES = pa.schema([("block", pa.int64()), ("ids", pa.binary())])
@@ -117,12 +117,17 @@ def _sequence(block: pa.Table, ids: np.ndarray) -> pa.Table:
     return pa.table([block["block"], pa.array([_packed(ids)], pa.binary())], _SEQUENCES)
 
 
+def _table_of(names: pa.Table) -> np.ndarray:
+    """The names of a block, one row for each part of the old name and a last one for the new id."""
+    return np.concatenate([_unpacked(x).reshape(w, -1) for x, w in zip(names["names"].to_pylist(), names["width"].to_pylist(), strict=True)], axis=1)
+
+
 def _name_words(block: pa.Table, names: pa.Table) -> pa.Table:
     """Numbers into the block's words become ids, -1 for words that are not frequent."""
     if not len(block) or not len(names):
         return _SEQUENCES.empty_table()
     old = _unpacked(block["ids"][0].as_py())
-    number, named = names["number"].to_numpy(), names["id"].to_numpy()
+    number, named = _table_of(names)
     ids = np.full(max(old.max(), number.max()) + 2, -1, np.int64)  # its last place is that of -1
     ids[number] = named
     return _sequence(block, ids[old])
@@ -133,7 +138,7 @@ def _name_pairs(block: pa.Table, names: pa.Table) -> pa.Table:
     if not len(block) or not len(names):
         return _SEQUENCES.empty_table()
     old = _unpacked(block["ids"][0].as_py())
-    x, y, named = (names[c].to_numpy() for c in ("x", "y", "id"))
+    x, y, named = _table_of(names)
     known, inverse = np.unique(np.concatenate([x, y, old]), return_inverse=True)
     key = inverse[: len(x)] * len(known) + inverse[len(x) : 2 * len(x)]
     own = inverse[2 * len(x) :]
@@ -159,9 +164,57 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # All levels --------------------------------------------------------------------------------------------------------
 
 
-def _frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Those of a level's rows (one for each key and block) whose key has ``least`` occurrences, with their number ``f``; one shuffle, and few rows are left."""
-    return rows.withColumn("f", F.sum("n").over(Window.partitionBy(*key))).where(F.col("f") >= least).drop("n").checkpoint()
+def _gathered(key: list[str], old: list[str], schema: pa.Schema, tasks: int, level: int, levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of frequent names, those of a key together, become for each block that a task met one row with the packed ``old`` names and new ids, and for each name one row with its key
+    and count. Ids count up in steps of ``tasks`` from the task's own number, so they stay small; those of different levels differ."""
+
+    def laid_out(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held, axis=1)
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        blocks, begins = np.unique(rows[0], return_index=True)
+        parts = [_packed(rows[1:, a:z].reshape(-1)) for a, z in zip(begins, [*begins[1:], rows.shape[1]], strict=True)]
+        return laid_out({"block": pa.array(blocks), "names": pa.array(parts, pa.binary()), "width": pa.array(np.full(len(blocks), len(old) + 1))}, len(blocks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        task, n, last = TaskContext.get().partitionId(), 0, None
+        if task >= tasks:
+            raise ValueError(f"{task + 1} tasks share the ids of {tasks}")
+        for b in batches:
+            if not len(b):
+                continue
+            begins = np.zeros(len(b), bool)
+            for c in key:
+                begins[1:] |= pc.not_equal(b[c][1:], b[c][:-1]).to_numpy(zero_copy_only=False)
+            begins[0] = last != [b[c][0].as_py() for c in key]
+            last = [b[c][-1].as_py() for c in key]
+            ids = ((n + np.cumsum(begins) - 1) * tasks + task) * levels + level - 1
+            n += int(begins.sum())
+            held.append(np.stack([*(b[c].to_numpy() for c in ("block", *old)), ids]))
+            first = b.filter(pa.array(begins))
+            yield laid_out({"id": pa.array(ids[begins]), **{c: first[c] for c in ("f", *key)}}, len(first))
+            if sum(h.shape[1] for h in held) >= NAMES_AT_ONCE:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _named(rows: DataFrame, key: list[str], old: list[str], k: int, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(``names``: block, names, width; ``level``: id, f and the key) of those of a level's rows (one for each key and block) whose key occurs ``least`` times.
+
+    One shuffle brings a key's rows together: they give its count, and the task that holds them gives it an id."""
+    kinds, conf = dict(rows.dtypes), rows.sparkSession.conf
+    tasks = max(int(conf.get(name, None) or 1) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
+    met = rows.withColumn("f", F.sum("n").over(Window.partitionBy(*key))).where(F.col("f") >= least).drop("n")
+    schema = pa.schema([("block", pa.int64()), ("names", pa.binary()), ("width", pa.int64()), ("id", pa.int64()), ("f", pa.int64()), *((c, pa.string() if kinds[c] == "string" else pa.int64()) for c in key)])
+    gathered = met.mapInArrow(_gathered(key, old, schema, tasks, k, longest), f"block long, names binary, width long, id long, f long, {', '.join(f'{c} {kinds[c]}' for c in key)}").checkpoint()
+    return gathered.where("names is not null").select("block", "names", "width"), gathered.where("names is null").select("id", "f", *key)
 
 
 def phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -169,25 +222,26 @@ def phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[DataFr
     are the ids of the phrase without its last and its first word (null for words), ``heads`` the counts of its first 1 to k - 1 words, ``tails`` those of its last ones."""
     ready_to_checkpoint(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where(F.length("text") > 0)
-    first = texts.mapInArrow(_into_blocks, "block long, lang string, words array<string>, counts array<long>, ids binary").checkpoint()
-    totals = first.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    words = first.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "w")).select("block", "lang", "number", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    met = _frequent(words, ["lang", "word"], least)
-    ids = _with_ids(met.groupBy("lang", "word").agg(F.first("f").alias("f")), 1, longest)
-    names = met.join(ids.select("lang", "word", "id"), ["lang", "word"]).select("block", F.col("number").cast("long").alias("number"), "id")
-    blocks = _renamed(first.select("block", "ids"), names, _name_words, "block long, ids binary")
+    first = texts.mapInArrow(_into_blocks, "block long, lang string, words string, counts string, ids binary").checkpoint()
+    parts = first.select("block", "lang", F.posexplode(F.arrays_zip(F.split("words", " ").alias("word"), F.split("counts", " ").alias("n"))).alias("number", "w"))
+    words = parts.select("block", F.col("number").cast("long").alias("number"), "lang", F.col("w.word").alias("word"), F.col("w.n").cast("long").alias("n"))
+    totals = first.select("lang", F.aggregate(F.split("counts", " "), F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    names, level = _named(words, ["lang", "word"], ["number"], 1, longest, least)
+    blocks = _renamed(first.select("block", "ids"), names, _name_words)
     nothing = F.array().cast("array<long>")
-    level = ids.select("id", "lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), nothing.alias("heads"), nothing.alias("tails"), F.col("word").alias("last"))
+    level = level.select(
+        "id", "lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), "f", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"),
+        nothing.alias("heads"), nothing.alias("tails"), F.col("word").alias("last"),
+    )
     found = level
     for k in range(2, longest + 1):
-        met = _frequent(blocks.mapInArrow(_pairs_of, "block long, x long, y long, n long"), ["x", "y"], least)
-        ids = _with_ids(met.groupBy("x", "y").agg(F.first("f").alias("f")), k, longest)
+        pairs = blocks.mapInArrow(_pairs_of, "block long, x long, y long, n long")
+        names, ids = _named(pairs, ["x", "y"], ["x", "y"], k, longest, least)
         if k < longest:
-            blocks = _renamed(blocks, met.join(ids.select("x", "y", "id"), ["x", "y"]).select("block", "x", "y", "id"), _name_pairs, "block long, ids binary")
+            blocks = _renamed(blocks, names, _name_pairs)
         left = level.select(F.col("id").alias("x"), "lang", "phrase", F.col("f").alias("left_f"), F.col("heads").alias("left_heads"))
         right = level.select(F.col("id").alias("y"), F.col("f").alias("right_f"), F.col("tails").alias("right_tails"), "last")
-        named = ids.join(left, "x").join(right, "y")
-        level = named.select(
+        level = ids.join(left, "x").join(right, "y").select(
             "id", "lang", F.lit(k).alias("k"), F.concat("phrase", F.lit(" "), "last").alias("phrase"), "f", F.col("x").alias("left"), F.col("y").alias("right"),
             F.array_append("left_heads", F.col("left_f")).alias("heads"), F.array_append("right_tails", F.col("right_f")).alias("tails"), "last",
         ).checkpoint()
