@@ -68,7 +68,7 @@ def focus_types(types: Column, term: Column) -> Column:
     return F.array_union(types, F.when(own.isNotNull(), F.array(own)).otherwise(F.array().cast("array<string>")))
 
 
-def tag_text(text: str, known: dict[str, tuple[str, ...]], most: int = 8) -> dict[str, tuple[str, ...]]:
+def tag_text(text: str, known: dict[str, tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
     """Entities of a sentence, greedily left to right: from each token grow while the phrase has types, keep the longest; of spellings that differ in case the first stays, class nouns go at the end."""
 
     def types(phrase: str) -> tuple[str, ...]:
@@ -87,7 +87,7 @@ def tag_text(text: str, known: dict[str, tuple[str, ...]], most: int = 8) -> dic
             i += 1
             continue
         best, j = 0, i
-        while j < len(words) and j - i < most and types(" ".join(words[i : j + 1])):
+        while j < len(words) and types(" ".join(words[i : j + 1])):
             j += 1
             best = j - i
         if best:
@@ -110,8 +110,8 @@ def _entities(text: str | None, known: dict[str, tuple[str, ...]]) -> list[dict]
     return [{"phrase": p, "types": list(k)} for p, k in tag_text(text or "", known).items()]
 
 
-def asked_phrases(text: str, most: int = 8) -> list[str]:
-    """Every phrase that :func:`tag_text` may look up in a sentence, whatever the dictionary has."""
+def asked_phrases(text: str, most: int) -> list[str]:
+    """Every phrase of up to ``most`` words that :func:`tag_text` may look up in a sentence, whatever the dictionary has."""
     words = [t for t, _, _ in tokens(text)]
     found = {" ".join(words[i:j]).lower() for i in range(len(words)) for j in range(i + 1, min(i + most, len(words)) + 1)}
     return sorted(found | {p.split(" ", 1)[1] for p in found if p.startswith("protein") and " " in p})
@@ -158,9 +158,11 @@ def spans(sentences: DataFrame, key: list[str], column: str, most: int = 4) -> D
 def tagged_by_join(sentences: DataFrame, known: DataFrame, column: str = "sentence") -> DataFrame:
     """Tagging against a dictionary of any size: all phrases that a sentence may ask for, an equi-join, and :func:`tag_text` with the terms that were found."""
 
+    longest = known.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 0
+
     @F.pandas_udf("array<string>")
     def phrases(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: asked_phrases(t or ""))
+        return texts.map(lambda t: asked_phrases(t or "", longest + 1))  # one more for ``protein`` before a term
 
     @F.pandas_udf(ENTITIES)
     def run(texts: pd.Series, found: pd.Series) -> pd.Series:

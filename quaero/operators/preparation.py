@@ -46,6 +46,14 @@ def negatives(rows: DataFrame, key: str, item: str, label: str, most: int, seed:
     return rows.withColumn("__n", F.row_number().over(w)).where((F.col(label) > 0) | (F.col("__n") <= most)).drop("__n")
 
 
+def drawn_negatives(rows: DataFrame, key: str, item: str, label: str, most: int, seed: int, one_in: int = 10) -> DataFrame:
+    """All positives, and of each key's negatives, in the order of items, those that are drawn with a chance of one in ``one_in``, ``most`` + 1 at the most. The draw is a hash of
+    the item, so that reruns and other engines draw the same."""
+    negative = F.coalesce(F.col(label) <= 0, F.lit(True))
+    drawn = rows.where(negative & (shuffled(F.col(item), seed) % one_in == 0)).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(item)))
+    return rows.where(~negative).unionByName(drawn.where(F.col("__n") <= most + 1).drop("__n"))
+
+
 def weighted_sample(rows: DataFrame, weight: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement, chances as weights: the least of exponential keys, made from the row's hash, so the partitioning does not matter. Equal rows
     share their luck."""
@@ -71,12 +79,19 @@ def join_on_text(ranks: DataFrame, questions: DataFrame, column: str = "question
 
 
 def join_or_prefix(keys: DataFrame, questions: DataFrame) -> DataFrame:
-    """(key, id): questions with an equal key, else those that start with it; the theta join sees only keys without an equal one."""
+    """(key, id): questions with an equal key, else of those that start with it the one of least id.
+
+    A question that starts with a key is equal to it if it is cut to the key's length: each question is cut to the lengths that keys have (no more than the longest has characters), the
+    least id of each cut is found in the tasks, and cuts meet keys by equality.
+    """
     q = questions.select("id", F.lower(T.strip_ws(F.col("question"))).alias("full"))
     k = keys.select("key", F.lower(T.strip_ws(F.col("key"))).alias("short"))
     exact = k.join(q, F.col("short") == F.col("full"))
-    rest = k.join(exact.select("short").distinct(), "short", "left_anti").join(q, F.startswith("full", "short"))
-    return exact.select("key", "id").unionByName(rest.groupBy("key").agg(F.min("id").alias("id")))
+    rest = k.join(exact.select("short").distinct(), "short", "left_anti")
+    lengths = sorted(r[0] for r in rest.select(F.length("short").alias("n")).where("n is not null").distinct().collect())
+    at = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("full"))
+    cuts = q.select("id", F.explode(F.transform(at, lambda n: F.left("full", n))).alias("short")).groupBy("short").agg(F.min("id").alias("id"))
+    return exact.select("key", "id").unionByName(rest.join(cuts, "short").select("key", "id"))
 
 
 def ordered_pairs(rows: DataFrame, key: str, item: str, value: str) -> DataFrame:

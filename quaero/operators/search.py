@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -112,16 +114,28 @@ def append_new(found: DataFrame, more: DataFrame, key: str = "doc_id") -> DataFr
     return found.unionByName(more.join(found, key, "left_anti"), allowMissingColumns=True)
 
 
-def removal_sequences(query: Query, n: int, seed: int) -> list[list[Query]]:
-    """``n`` random orders of taking terms away, light terms sooner (roulette on 1 / weight)."""
-    import random
+def selection_chances(weights: Sequence[float], policy: str, step: int) -> list[float]:
+    """How likely each term is the next one to go. ``roulette``: by 1 / weight; ``uniform``: equally; ``annealed``: by exp(share / temperature), where the share is that of the roulette and the
+    temperature of step n (from 1) is 1 / ln(n + 1): early choices are nearly uniform, later ones take light terms."""
+    if policy == "uniform":
+        return [1.0] * len(weights)
+    inverse = [1 / max(w, 1e-6) for w in weights]
+    if policy == "roulette":
+        return inverse
+    if policy != "annealed":
+        raise ValueError(f"no policy {policy!r}")
+    total, heat = sum(inverse), math.log(step + 1)
+    return [math.exp(x / total * heat) for x in inverse]
 
+
+def removal_sequences(query: Query, n: int, seed: int, policy: str = "roulette") -> list[list[Query]]:
+    """``n`` random orders of taking terms away, by :func:`selection_chances`; the seed decides them."""
     rng, out = random.Random(seed), []
     for _ in range(n):
         q, sequence = query, [query]
         while q.n_terms > 1:
             pool = [t for p in q.parts for t in p.terms]
-            gone = rng.choices(pool, [1 / max(t.weight, 1e-6) for t in pool])[0]
+            gone = rng.choices(pool, selection_chances([t.weight for t in pool], policy, len(sequence)))[0]
             q = q.without_term(gone.text)
             if q.n_terms:
                 sequence.append(q)
@@ -129,9 +143,9 @@ def removal_sequences(query: Query, n: int, seed: int) -> list[list[Query]]:
     return out
 
 
-def best_sequences(docs: DataFrame, query: Query, gold: DataFrame, n: int = 30, stop_above: int = 5, seed: int = 1) -> tuple[list[Query], float]:
+def best_sequences(docs: DataFrame, query: Query, gold: DataFrame, n: int = 30, stop_above: int = 5, seed: int = 1, policy: str = "roulette") -> tuple[list[Query], float]:
     """The removal sequence with the best 0.5 recall + 0.5 precision where it first has more than ``stop_above`` matches; all rungs are counted in one scan."""
-    sequences = removal_sequences(query, n, seed)
+    sequences = removal_sequences(query, n, seed, policy)
     rungs = {q.rendered(): q for s in sequences for q in s}
     names = list(rungs)
     marked = searchable(docs).join(gold.select("doc_id", F.lit(True).alias("gold")), "doc_id", "left")

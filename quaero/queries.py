@@ -303,7 +303,7 @@ def rwmd_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = VOC.terms(table(spark, sf_dir, "benchmark").where(_every("item_id")), "item_id").select(F.col("item_id").alias("qid"), "term")
     probes = asked.agg(F.sort_array(F.collect_set("qid")).alias("qids"))
     each = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(F.broadcast(probes))
-    return scored_sentences(each, asked, vectors, vocabulary).select("qid", "doc_id", "sid", F.round(F.col("score").cast("double"), 4).alias("score"))
+    return scored_sentences(each, asked, vectors, vocabulary).where(F.col("sentence").rlike(r"[\p{L}\p{Nd}]")).select("qid", "doc_id", "sid", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
 @query(_RWMD + """, o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score::REAL::DOUBLE, 4) DESC, doc_id, sid)::INT AS rank FROM r) SELECT qid, doc_id, sid, rank FROM o WHERE rank <= 10""")
