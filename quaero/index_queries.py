@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from quaero.functions import text as T
 from quaero.operators import index as IX
 from quaero.operators import neighbours as N
+from quaero.operators import pairwise as PW
 from quaero.operators import phrases as PH
 from quaero.operators import preparation as P
 from quaero.operators import ranking as R
 from quaero.operators import vocabulary as VOC
 from quaero.queries import EVERY, WORDS, query, table
 from quaero.round_trips import scratch
+from quaero.sources.shared import ready_to_checkpoint
 
 
 def _index(spark: SparkSession, sf_dir: str) -> str:
@@ -61,6 +63,7 @@ def knn_inverted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     probes = e.where(F.col("vec_id") % EVERY == 0)
     quantiser = N.fit(e)
+    ready_to_checkpoint(spark)
     indexed = N.index(e, quantiser).checkpoint()
     lists, again = N.tuned(indexed, e, quantiser)
     found = N.search(indexed, e, probes, quantiser, lists=lists, again=again)
@@ -85,3 +88,20 @@ SELECT doc_id, quality FROM r WHERE quality > 0 UNION ALL SELECT doc_id, quality
 def neg_sample_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").withColumn("q", F.col("doc_id") % 20)
     return P.drawn_negatives(rows, "q", "doc_id", "quality", 5, 5).select("doc_id", "quality")
+
+
+@query(f"""WITH d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({WORDS})) AS term FROM documents) GROUP BY term),
+w AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({WORDS}) AS term FROM benchmark)), j AS (SELECT item_id, term, df FROM w JOIN d USING (term))
+SELECT count(*) AS pairs, true AS accurate FROM j a JOIN j b ON a.item_id = b.item_id WHERE a.term <> b.term AND a.df <> b.df AND a.item_id % 5 = 0""")
+def pair_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network learns from four fifths of the questions which of two of their words is the commoner one, by their spelling; whether it orders four fifths of the other questions' pairs."""
+    ready_to_checkpoint(spark)
+    frequency = VOC.document_frequency(table(spark, sf_dir, "documents"))
+    words = VOC.terms(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "term").distinct().join(frequency, "term").checkpoint()
+    vowels = F.length("term") - F.length(F.regexp_replace("term", "[aeiou]", ""))
+    spelling = words.select("term", F.array(F.length("term") / 8, vowels / F.length("term"), F.ascii("term") / 100, (F.length("term") <= 4).cast("double")).alias("vector")).distinct()
+    pairs = P.ordered_pairs(words, "item_id", "term", "df")
+    pairs = pairs.join(spelling.select(F.col("term").alias("a"), F.col("vector").alias("va")), "a").join(spelling.select(F.col("term").alias("z"), F.col("vector").alias("vz")), "z").checkpoint()
+    tower = PW.fit(pairs.where("item_id % 5 > 0"), 4, rounds=30)
+    right = (PW.score(F.col("va"), tower) > PW.score(F.col("vz"), tower)) == (F.col("label") > 0)
+    return pairs.where("item_id % 5 = 0").agg(F.count(F.lit(1)).alias("pairs"), (F.avg(right.cast("double")) >= 0.8).alias("accurate"))
