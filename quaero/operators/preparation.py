@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaero.functions import text as T
+from quaero.operators.spans import inside  # noqa: F401
 from quaero.sources.shared import ready_to_checkpoint
 
 
@@ -101,13 +102,6 @@ def ordered_pairs(rows: DataFrame, key: str, item: str, value: str) -> DataFrame
     return a.join(z, key).where("a <> z and va <> vz").select(key, "a", "z", F.when(F.col("va") > F.col("vz"), 1).otherwise(0).alias("label"))
 
 
-def inside(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
-    """Spans inside spans of one key; of several outer ones the longest."""
-    j = inner.alias("i").join(outer.alias("o"), key).where("i.start >= o.start and i.end <= o.end")
-    best = j.groupBy(key, F.col("i.start").alias("start"), F.col("i.end").alias("end")).agg(F.max(F.struct(F.expr("o.end - o.start").alias("n"), F.col("o.start").alias("s"), F.col("o.end").alias("e"))).alias("b"))
-    return best.select(key, "start", "end", F.col("b.s").alias("outer_start"), F.col("b.e").alias("outer_end"))
-
-
 def consecutive_runs(rows: DataFrame, partition: str, order: str, key: str) -> DataFrame:
     """(partition, run, key, first, n): runs of equal neighbouring keys."""
     w = Window.partitionBy(partition).orderBy(order)

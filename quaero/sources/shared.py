@@ -6,8 +6,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where that is unset, a folder below the warehouse, which a cluster shares too."""
+    """The cluster's ``spark.checkpoint.dir``; where that is unset and all executors are on this machine, as in tests, a folder below the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or spark.conf.get("spark.sql.warehouse.dir") + "/quaero-checkpoints").rstrip("/")
 
 

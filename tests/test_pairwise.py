@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaero.operators import pairwise as PW
+from quaero.operators.spans import inside
 from quaero.operators.timings import Timings
 
 
@@ -66,3 +67,19 @@ def test_timings_of_steps_and_batches(spark):
         assert 0 < r.least <= r["mean"] <= r.most
     assert rows["work"].least >= 0.01
     assert Timings(spark).table().collect() == []
+
+
+def test_spans_inside_equals_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    spans = lambda n: [(int(k), int(a), int(a + w)) for k, a, w in zip(rng.integers(0, 6, n), rng.integers(0, 20, n), rng.integers(0, 9, n), strict=True)]
+    inner, outer = spans(150) + [(7, 1, 2), (None, 1, 2), (1, None, 2)], spans(90) + [(None, 0, 9), (2, 0, 30), (2, 0, 30)]
+    want = set()
+    for k, a, z in set(inner):
+        around = [(y - x, x, y) for q, x, y in outer if q == k and k is not None and a is not None and x <= a and z <= y]
+        if around:
+            want.add((k, a, z, *max(around)[1:]))
+    frame = lambda rows: spark.createDataFrame(rows, "k int, start int, end int").repartition(3)
+    got = inside(frame(inner), frame(outer), "k")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and got.columns == ["k", "start", "end", "outer_start", "outer_end"]
+    assert inside(frame(inner).limit(0), frame(outer), "k").collect() == []
+    assert "spans_inside" in [f.name for f in spark.catalog.listFunctions()]
