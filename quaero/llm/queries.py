@@ -47,7 +47,8 @@ def op6_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat_template.digests(chat_template.format_conversations(rows.unionByName(probe)))
+    digests = [chat_template.digests(chat_template.format_conversations(x)) for x in (rows, probe)]  # apart, as the table may have the probe's number
+    return digests[0].unionByName(digests[1])
 
 
 def op7_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
