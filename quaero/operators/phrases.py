@@ -85,7 +85,7 @@ def phrase_sets(docs: DataFrame, phrases: list[tuple[str, ...]], key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for b in batches:
-            sets = [automaton.found(words_of(t)) for t in b["text"].to_pylist()]
+            sets = [automaton.found(words_of(t.as_py())) for t in b["text"]]
             kept = [i for i, s in enumerate(sets) if s]
             packed = pa.array([np.array(sorted(sets[i]), np.int32).tobytes() for i in kept], pa.binary())
             yield pa.RecordBatch.from_arrays([b[key].take(pa.array(kept, pa.int64())), packed], [key, "found"])

@@ -20,6 +20,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from quaero.plans.query import Query, keyword_query
 from quaero.sources.shared import ready_to_checkpoint
 
 #: Questions in one block, bytes of sentences in one block of documents, and parts into which one ask's documents are dealt.
-QUESTIONS_AT_ONCE, BLOCK_BYTES, PARTS = 1000, 1 << 24, 32
+QUESTIONS_AT_ONCE, BLOCK_BYTES, PARTS = 1000, 1 << 22, 32
 #: Documents of questions up to which their ids are sent to all tasks instead of shuffling the texts.
 MOST_BROADCAST = 1 << 20
 
@@ -191,50 +192,66 @@ def _tasks(spark: SparkSession) -> int:
 # Retrieval ---------------------------------------------------------------------------------------------------------
 
 
+def failing(ask: Ask) -> list[np.ndarray]:
+    """For each part and depth (:meth:`_Matched.depth`), the rungs whose part such a document does not match."""
+    rungs, tables = np.array(ask.rungs, np.int16).reshape(len(ask.rungs), len(ask.parts)), []
+    for kept, part, every in zip(rungs.T, ask.parts, ask.every, strict=True):
+        at = np.arange(len(part) + 2)[:, None]
+        tables.append((kept > at) if every else (kept > 0) & (kept < at))
+    return tables
+
+
 class _Matched:
-    """Which parts of which asks the documents of one batch match."""
+    """Which parts and rungs of which asks the documents of one batch match. Terms are rows and documents columns, so that what an ask needs lies together."""
 
     def __init__(self, asks: list[Ask], terms: list[list[list[int]]], n_terms: int, found: list[bytes]) -> None:
         self.asks, self.terms = asks, terms
-        self.has = np.zeros((len(found), n_terms + 1), bool)  # the last column is that of terms without a word
+        self.has = np.zeros((n_terms + 1, len(found)), bool)  # the last row is that of terms without a word
         for i, ids in enumerate(found):
-            self.has[i, np.frombuffer(ids, np.int32)] = True
+            self.has[np.frombuffer(ids, np.int32), i] = True
 
     def depth(self, k: int) -> np.ndarray:
-        """For each document and part the least number of the part's terms with which it matches, one more than there are if with none. A part that asks for all its terms matches with as
-        many as it has of the first: below 0, how many these are at most."""
-        terms, every = self.terms[k], self.asks[k].every
+        """For each part and document the least number of the part's terms with which it matches, one more than there are if with none; of a part that asks for all its terms, how many of the
+        first ones the document has."""
+        terms, every = self.terms[k], np.array(self.asks[k].every, bool)[:, None]
         if not terms:
-            return np.zeros((len(self.has), 0), np.int32)
-        sizes = np.array([len(ids) for ids in terms], np.int32)
-        begins = np.cumsum(sizes) - sizes
-        hit = self.has[:, np.concatenate(terms)]
-        place = np.arange(1, len(hit[0]) + 1, dtype=np.int32) - np.repeat(begins, sizes).astype(np.int32)
-        behind = np.repeat(sizes + 1, sizes)
-        found = np.minimum.reduceat(np.where(hit, place, behind), begins, axis=1)
-        if any(every):
-            have = np.minimum.reduceat(np.where(hit, behind - 1, place - 1), begins, axis=1)
-            found = np.where(np.array(every) & (have > 0), -have, np.where(np.array(every), sizes + 1, found))
-        return found
-
-    @staticmethod
-    def on_rungs(depth: np.ndarray, rungs: tuple[tuple[int, ...], ...]) -> np.ndarray:
-        """For each document and rung, whether it matches every part that the rung still has."""
-        kept = np.array(rungs, np.int32).reshape(len(rungs), depth.shape[1])
-        ok = (depth[:, None, :] <= kept) & ((depth[:, None, :] > 0) | (kept <= -depth[:, None, :])) | (kept == 0)
-        return ok.all(2) & (kept > 0).any(1)
-
-    def on_rung(self, depth: np.ndarray, rung: tuple[int, ...]) -> np.ndarray:
-        return self.on_rungs(depth, (rung,))[:, 0]
+            return np.zeros((0, self.has.shape[1]), np.int16)
+        sizes = np.array([len(ids) for ids in terms], np.int16)
+        begins = np.cumsum(sizes, dtype=int) - sizes
+        hit = self.has[np.concatenate(terms)]
+        place = (np.arange(1, len(hit) + 1) - np.repeat(begins, sizes)).astype(np.int16)[:, None]
+        behind = np.repeat(sizes + 1, sizes).astype(np.int16)[:, None]
+        found = np.minimum.reduceat(np.where(hit, place, behind), begins, axis=0)
+        return np.where(every, np.minimum.reduceat(np.where(hit, behind - 1, place - 1), begins, axis=0), found) if every.any() else found
+
+    def on_rungs(self, k: int, depth: np.ndarray, fails: list[np.ndarray]) -> np.ndarray:
+        """For each document and rung, whether it matches every part that the rung still has; ``fails`` has the tables of :func:`failing` as bits."""
+        empty = np.array([not any(r) for r in self.asks[k].rungs], bool)
+        failed = np.repeat(np.packbits(empty)[None, :], self.has.shape[1], axis=0)
+        for at, table in zip(depth, fails, strict=True):
+            failed |= table[at]
+        return np.unpackbits(~failed, axis=1, count=len(empty)).view(bool)
+
+    def any_part(self, k: int, depth: np.ndarray) -> np.ndarray:
+        """Whether each document matches a part of the whole query."""
+        sizes, every = np.array([len(p) for p in self.asks[k].parts])[:, None], np.array(self.asks[k].every, bool)[:, None]
+        return np.where(every, depth >= sizes, depth <= sizes).any(0)
 
     def score(self, k: int, rung: tuple[int, ...]) -> np.ndarray:
-        total = np.zeros(len(self.has))
+        total = np.zeros(self.has.shape[1])
         for ids, weights, n in zip(self.terms[k], self.asks[k].weights, rung, strict=True):
             for t, w in zip(ids[:n], weights[:n], strict=True):
-                total = total + np.where(self.has[:, t], w, 0.0)
+                total = total + np.where(self.has[t], w, 0.0)
         return total
 
 
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Batches of few enough documents that their terms are a small matrix."""
+    for b in batches:
+        for at in range(0, len(b), most):
+            yield b.slice(at, most)
+
+
 def _numbered(asks: list[Ask]) -> tuple[list[tuple[str, ...]], list[list[list[int]]]]:
     """The distinct terms of all asks as words, and each ask's parts as numbers into them; a term without a word gets the number behind the last."""
     numbers: dict[tuple[str, ...], int] = {}
@@ -256,11 +273,12 @@ def retrieved(docs: DataFrame, asks: list[Ask], most: int = search.MOST_DOCS) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asks, terms, n_terms = shared.value
         totals = [np.zeros(len(a.rungs), np.int64) for a in asks]
-        for b in batches:
+        fails = [[np.packbits(t, axis=1) for t in failing(a)] for a in asks]
+        for b in _parts(batches):
             m = _Matched(asks, terms, n_terms, b["found"].to_pylist())
             for k, a in enumerate(asks):
                 if a.rungs:
-                    totals[k] += m.on_rungs(m.depth(k), a.rungs).sum(0)
+                    totals[k] += m.on_rungs(k, m.depth(k), fails[k]).sum(0)
         rows = [(k, r, int(n)) for k, t in enumerate(totals) for r, n in enumerate(t) if n]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.int32(), pa.int32(), pa.int64()), strict=True)], ["ask", "rung", "n"])
 
@@ -273,16 +291,17 @@ def retrieved(docs: DataFrame, asks: list[Ask], most: int = search.MOST_DOCS) ->
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asks, terms, n_terms = shared.value
         best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(asks)
-        for b in batches:
+        fails = [None if r is None else [t[:, r] for t in failing(a)] for a, r in zip(asks, picked.value, strict=True)]
+        for b in _parts(batches):
             m, ids = _Matched(asks, terms, n_terms, b["found"].to_pylist()), np.array(b["doc_id"].to_pylist(), object if kind == "string" else np.int64)
             for k, a in enumerate(asks):
                 depth, rung = m.depth(k), picked.value[k]
                 if rung is None:  # no rung has a match: the whole query by OR
                     rung = tuple(map(len, a.parts))
-                    hit = ((depth <= np.array(rung)) & ((depth > 0) | (-depth >= np.array(rung)))).any(1)
+                    hit = m.any_part(k, depth)
                 else:
+                    hit = ~np.any([table[at] for at, table in zip(depth, fails[k], strict=True)], axis=0)
                     rung = a.rungs[rung]
-                    hit = m.on_rung(depth, rung)
                 if hit.any():
                     more = ids[hit], m.score(k, rung)[hit]
                     both = more if best[k] is None else tuple(np.concatenate(x) for x in zip(best[k], more, strict=True))
@@ -338,10 +357,26 @@ class Keep:
         return np.array(sorted(kept), np.int64)
 
 
-def _question_matrices(words: DataFrame, vectors: DataFrame, vocabulary: DataFrame) -> dict:
+@dataclass(frozen=True)
+class SharedVectors:
+    """Vectors of terms by reference: ``names`` (term, vec_id) and ``values`` (vec_id, embedding). A vector that many terms share is moved once for a block."""
+
+    names: DataFrame
+    values: DataFrame
+
+    @staticmethod
+    def of(vectors: DataFrame | SharedVectors) -> SharedVectors:
+        """(term, embedding) as vectors of their own."""
+        if isinstance(vectors, SharedVectors):
+            return vectors
+        return SharedVectors(vectors.select("term", F.col("term").alias("vec_id")), vectors.select(F.col("term").alias("vec_id"), "embedding"))
+
+
+def _question_matrices(words: DataFrame, vectors: SharedVectors, vocabulary: DataFrame) -> dict:
     """{qid: (unit vectors of its known words, as rows; their weights)} of a bounded number of questions."""
     weighed = vocabulary.select("term", "weight").join(F.broadcast(words.select("qid", "term").distinct()), "term")
-    known = vectors.select("term", "embedding").join(F.broadcast(weighed), "term")
+    named = vectors.names.join(F.broadcast(weighed), "term")
+    known = vectors.values.join(F.broadcast(named), "vec_id")
     found: dict = {}
     for r in known.orderBy("qid", "term").collect():
         found.setdefault(r.qid, []).append((r.embedding, r.weight))
@@ -353,14 +388,14 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
 
 
-def sentence_scores(docs: DataFrame, chosen: DataFrame, words: DataFrame, vectors: DataFrame, vocabulary: DataFrame, keep: Keep | None = None) -> DataFrame:
+def sentence_scores(docs: DataFrame, chosen: DataFrame, words: DataFrame, vectors: DataFrame | SharedVectors, vocabulary: DataFrame, keep: Keep | None = None) -> DataFrame:
     """(qid, doc_id, sid, sentence, score) for the sentences of each question's documents (qid, doc_id), as :func:`scored_sentences` gives them."""
     per_doc = chosen.groupBy("doc_id").agg(F.sort_array(F.collect_set("qid")).alias("qids"))
     few = chosen.count() <= MOST_BROADCAST
     return scored_sentences(docs.select("doc_id", "text").join(F.broadcast(per_doc) if few else per_doc, "doc_id"), words, vectors, vocabulary, keep)
 
 
-def scored_sentences(docs: DataFrame, words: DataFrame, vectors: DataFrame, vocabulary: DataFrame, keep: Keep | None = None) -> DataFrame:
+def scored_sentences(docs: DataFrame, words: DataFrame, vectors: DataFrame | SharedVectors, vocabulary: DataFrame, keep: Keep | None = None) -> DataFrame:
     """(qid, doc_id, sid, sentence, score) for the sentences of (doc_id, text, qids) and the questions in ``qids``: relaxed word mover's similarity to the question's words (qid, term).
 
     A question word weighs its idf and takes its best cosine with a word of the sentence (-1 with none); the score is the weighted mean, 0 if not positive, as float. The questions
@@ -369,6 +404,7 @@ def scored_sentences(docs: DataFrame, words: DataFrame, vectors: DataFrame, voca
     """
     spark = docs.sparkSession
     ready_to_checkpoint(spark)
+    vectors = SharedVectors.of(vectors)
     asked = spark.sparkContext.broadcast(_question_matrices(words, vectors, vocabulary))
     texts = docs.select("doc_id", "qids", T.sentences(F.col("text")).alias("sentences")).where(F.size("sentences") > 0)
     texts = texts.withColumn("words", F.transform("sentences", lambda s: F.array_join(lower_words(s), " "))).checkpoint()
@@ -376,13 +412,17 @@ def scored_sentences(docs: DataFrame, words: DataFrame, vectors: DataFrame, voca
     blocks = max(size // BLOCK_BYTES + 1, _tasks(spark))
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     distinct = dealt.select("block", F.explode(F.array_distinct(F.split(F.array_join("words", " "), " "))).alias("term")).where(F.col("term") != "").distinct()
-    known = vectors.select("term", "embedding").join(distinct.select("term").distinct(), "term", "left_semi").join(vocabulary.select("term"), "term", "left_semi")
-    named = distinct.join(known, "term").select(F.col("block").alias("of"), "term", "embedding")
+    named = distinct.join(vectors.names, "term").join(vocabulary.select("term"), "term", "left_semi").select(F.col("block").alias("of"), "term", "vec_id").checkpoint()
+    needed = named.select("of", "vec_id").distinct().join(vectors.values, "vec_id").select("of", F.lit(None).cast("string").alias("term"), "vec_id", "embedding")
+    near = named.withColumn("embedding", F.lit(None).cast(vectors.values.schema["embedding"].dataType)).unionByName(needed)
     qid, doc = docs.schema["qids"].dataType.elementType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
 
     def score(rows: pa.Table, near: pa.Table) -> pa.Table:
-        number = {w: i for i, w in enumerate(near["term"].to_pylist())}
-        units = _units(np.array(near["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(number), -1)) if number else np.zeros((0, 1))
+        is_word = pc.is_valid(near["term"])
+        words, values = near.filter(is_word), near.filter(pc.invert(is_word))
+        place = {v: i for i, v in enumerate(values["vec_id"].to_pylist())}
+        number = {w: place[v] for w, v in zip(words["term"].to_pylist(), words["vec_id"].to_pylist(), strict=True)}
+        units = _units(np.array(values["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(place), -1)) if place else np.zeros((0, 1))
         docs, sids, texts, found = [], [], [], {}
         for doc_id, qids, sentences, words in zip(*(rows[c].to_pylist() for c in ("doc_id", "qids", "sentences", "words")), strict=True):
             each = [[number[w] for w in s.split() if w in number] for s in words]
@@ -412,7 +452,7 @@ def scored_sentences(docs: DataFrame, words: DataFrame, vectors: DataFrame, voca
         kinds = rows.schema.field("qids").type.value_type, rows.schema.field("doc_id").type, pa.int32(), pa.string(), pa.float32()
         return pa.table([pa.chunked_array([pa.array(c[k], kind) for c in columns], kind) for k, kind in enumerate(kinds)], ["qid", "doc_id", "sid", "sentence", "score"])
 
-    return dealt.repartition(blocks, "block").groupBy("block").cogroup(named.repartition(blocks, "of").groupBy("of")).applyInArrow(score, f"qid {qid}, doc_id {doc}, sid int, sentence string, score float")
+    return dealt.repartition(blocks, "block").groupBy("block").cogroup(near.repartition(blocks, "of").groupBy("of")).applyInArrow(score, f"qid {qid}, doc_id {doc}, sid int, sentence string, score float")
 
 
 # Answers -----------------------------------------------------------------------------------------------------------
@@ -432,7 +472,7 @@ def routed(scored: DataFrame, plans: DataFrame, dictionary: DataFrame, most: int
     return defined.unionByName(A.top_per_question(A.deduplicated(others, key=["qid"]), most).select(*result, "rank"))
 
 
-def ask_all(docs: DataFrame, questions: DataFrame, vocabulary: DataFrame, vectors: DataFrame, dictionary: DataFrame, most: int = 10, mode: str = "baseline", scorer: S.PairScorer | None = None) -> DataFrame:
+def ask_all(docs: DataFrame, questions: DataFrame, vocabulary: DataFrame, vectors: DataFrame | SharedVectors, dictionary: DataFrame, most: int = 10, mode: str = "baseline", scorer: S.PairScorer | None = None) -> DataFrame:
     """(qid, doc_id, sid, sentence, score, rank): the answers that :class:`quaero.plans.engine.Engine` gives to each question (qid, question), for all of them at once.
 
     With a ``scorer`` each question's first 100 answers are put in its order before the best ``most`` are taken.

@@ -21,7 +21,7 @@ from quaero.operators import questions as Q
 from quaero.operators import ranking as R
 from quaero.operators import search as S
 from quaero.operators import vocabulary as VOC
-from quaero.plans.batch import ask_all, scored_sentences
+from quaero.plans.batch import SharedVectors, ask_all, scored_sentences
 from quaero.plans.query import Part, Query, Term
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -280,12 +280,12 @@ nd AS (SELECT count(*) AS n FROM documents), ne AS (SELECT count(*) AS n FROM em
 k AS (SELECT term, idf / top AS weight, (row_number() OVER (ORDER BY df DESC, term) - 1) % ne.n AS vec_id FROM i, t, ne ), v AS (SELECT term, weight, embedding::DOUBLE[] AS e FROM k JOIN embeddings USING (vec_id))"""
 
 
-def term_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(term, weight) and (term, embedding) of all terms. The vocabulary is numbered and kept once; a vector joins only the terms that a query asks for."""
+def term_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SharedVectors]:
+    """(term, weight) and the vectors of all terms. The vocabulary is numbered and kept once; a vector joins only the terms that a query asks for."""
     docs, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     vocabulary = VOC.idf_weights(VOC.document_frequency(docs), docs.count())
     placed = P.numbered(vocabulary, [F.desc("df"), F.col("term")], "place").withColumn("vec_id", F.col("place") % e.count())
-    return placed.select("term", "weight"), placed.select("term", "vec_id").join(e.select("vec_id", "embedding"), "vec_id").select("term", "embedding")
+    return placed.select("term", "weight"), SharedVectors(placed.select("term", "vec_id"), e.select("vec_id", "embedding"))
 
 
 _RWMD = f"""WITH {SENTENCES}, {_VECTORS}, q AS (SELECT DISTINCT item_id AS qid, term FROM (SELECT item_id, unnest({WORDS}) AS term FROM benchmark WHERE item_id % 100 = 0)),
@@ -316,7 +316,7 @@ SELECT qid, dim, round(sum(weight * x), 4) AS x FROM x GROUP BY qid, dim""")
 def tfidf_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary, vectors = term_tables(spark, sf_dir)
     q = VOC.terms(table(spark, sf_dir, "benchmark"), "item_id").select(F.col("item_id").alias("qid"), "term")
-    c = R.question_centroid(q, vectors, vocabulary)
+    c = R.question_centroid(q, vectors.names.join(q.select("term").distinct(), "term").join(vectors.values, "vec_id").select("term", "embedding"), vocabulary)
     return c.select("qid", F.posexplode("vector").alias("dim", "x")).select("qid", F.col("dim").cast("long").alias("dim"), F.round("x", 4).alias("x"))
 
 

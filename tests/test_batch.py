@@ -184,10 +184,12 @@ def test_compiled_rungs_are_the_ladder():
             texts = [{t for t in range(len(words)) if rng.random() < 0.5} for _ in range(30)]
             m = B._Matched([ask], terms, len(words), [np.array(sorted(t), np.int32).tobytes() for t in texts])
             depth = m.depth(0)
+            on = m.on_rungs(0, depth, [np.packbits(t, axis=1) for t in B.failing(ask)])
+            assert m.any_part(0, depth).tolist() == [_matches(" ".join(words[t][0] for t in s), Query.of(query.parts), "OR") for s in texts]
             spoken = [" ".join(words[t][0] for t in sorted(s)) for s in texts]
             assert len(ask.rungs) == len(rungs)
-            for counts, rung in zip(ask.rungs, rungs, strict=True):
-                assert m.on_rung(depth, counts).tolist() == [_matches(s, rung, "AND") for s in spoken]
+            for k, (counts, rung) in enumerate(zip(ask.rungs, rungs, strict=True)):
+                assert on[:, k].tolist() == [_matches(s, rung, "AND") for s in spoken]
                 assert m.score(0, counts).tolist() == pytest.approx([sum(t.weight for p in rung.parts for t in p.terms if _has(s, t.text)) for s in spoken])
 
 

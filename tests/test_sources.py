@@ -149,7 +149,8 @@ def test_words_of_one_document_are_known(spark, tmp_path):
 
     spark.createDataFrame([(1, "common single"), (2, "common")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert [{r.term for r in t.collect()} for t in term_tables(spark, str(tmp_path))] == [{"common", "single"}] * 2
+    vocabulary, vectors = term_tables(spark, str(tmp_path))
+    assert [{r.term for r in t.collect()} for t in (vocabulary, vectors.names)] == [{"common", "single"}] * 2
 
 
 def test_entry_without_the_training_operators(monkeypatch):
