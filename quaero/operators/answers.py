@@ -91,12 +91,13 @@ def exact_answers(tagged: DataFrame, query_entities: list[str], focus_types: lis
     return wanted.groupBy(F.lower("e.phrase").alias("answer")).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score")).orderBy(F.desc("n"), F.desc("score"), "answer")
 
 
-def candidate_phrases(sentences: DataFrame, most: int = 5) -> DataFrame:
-    """(doc_id, sid, phrase): factoid candidates, conjunctions split, articles stripped, eligible ones only."""
+def candidate_phrases(sentences: DataFrame, most: int | None = None) -> DataFrame:
+    """(doc_id, sid, phrase): factoid candidates, conjunctions split, articles stripped, eligible ones only; of ``most`` words at most, if it is given."""
     runs = F.regexp_extract_all("sentence", F.lit(r"(?:[\p{L}\p{Nd}][\p{L}\p{Nd}'-]*)(?: [\p{L}\p{Nd}][\p{L}\p{Nd}'-]*)*"), F.lit(0))
     each = sentences.select("doc_id", "sid", F.explode(runs).alias("run")).select("doc_id", "sid", F.explode(T.split_conjunctions(F.col("run"))).alias("run"))
     phrases = each.select("doc_id", "sid", F.explode(T.sub_phrases(F.split("run", " "))).alias("phrase"))
-    return phrases.where(T.eligible_phrase(F.col("phrase")) & (F.size(F.split("phrase", " ")) <= most)).distinct()
+    short = F.lit(True) if most is None else F.size(F.split("phrase", " ")) <= most
+    return phrases.where(T.eligible_phrase(F.col("phrase")) & short).distinct()
 
 
 def first_by_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -68,7 +68,7 @@ class Engine:
         return search.ranked(search.retrieve(self.docs, self.query(question, mode), strategy))
 
     def _nearest(self, question: str, most: int = 100) -> DataFrame:
-        """The documents whose centroids are nearest to the question's; none if it has no known word."""
+        """The ``most`` documents whose centroids are nearest to the question's, a top-k list; none if it has no known word."""
         if self.centroids is None:
             raise ValueError("retrieval by nearness needs the documents' centroids")
         spark = self.docs.sparkSession

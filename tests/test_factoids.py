@@ -30,3 +30,13 @@ def test_sample_does_not_depend_on_partitions(spark):
     rows = spark.range(200).selectExpr("id", "1.0 + id % 3 AS w")
     pick = lambda n: {r.id for r in P.weighted_sample(rows.repartition(n), "w", 20, 5).collect()}
     assert pick(1) == pick(7) and len(pick(3)) == 20
+
+
+def test_candidates_of_any_length(spark):
+    from quaero.operators.answers import candidate_phrases
+
+    text = "alpha beta gamma delta epsilon zeta eta"
+    found = {r.phrase for r in candidate_phrases(spark.createDataFrame([(1, 0, text)], "doc_id long, sid int, sentence string")).collect()}
+    assert text in found
+    short = {r.phrase for r in candidate_phrases(spark.createDataFrame([(1, 0, text)], "doc_id long, sid int, sentence string"), 2).collect()}
+    assert short == {p for p in found if len(p.split()) <= 2}
