@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quaero.functions import vectors as V
 from quaero.operators import pairwise as PW
 from quaero.operators.spans import inside
 from quaero.operators.timings import Timings
@@ -47,6 +48,22 @@ def test_held_out_pairs_are_ordered(spark):
     assert np.array_equal(PW.fit(pairs.limit(0), 3).flat(), PW.Tower.fresh(3).flat())
 
 
+def test_jaccard_of_all_pairs_by_matrices(spark):
+    """Blocks of sets meet as matrices, not pair by pair; a half of the last digit is rounded up, bits that occur twice count once."""
+    rng = np.random.default_rng(5)
+    sets = {i: sorted(set(rng.integers(0, 40, rng.integers(0, 9)).tolist())) for i in range(-30, 120)} | {500: list(range(1000, 1065)), 501: list(range(1064, 1128)), 502: [1064, 1064]}
+    frame = spark.createDataFrame([*sets.items(), (None, [1])], "vec_id long, bits array<int>").repartition(3)
+    for blocks in (1, 3):
+        pairs = V.jaccard_pairs(frame, "vec_id", blocks)
+        plan = pairs._jdf.queryExecution().toString()
+        assert "CoGroupsInArrow" in plan and "Join" not in plan
+        got = {(r.a, r.b): r.jaccard for r in pairs.collect()}
+        want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in sets.items() for b, y in sets.items() if a < b and set(x) & set(y)}
+        assert got.keys() == want.keys() and got == pytest.approx(want, abs=6e-7)
+        assert got[500, 501] == 0.007813
+    assert V.jaccard_pairs(frame.limit(0), "vec_id", 2).collect() == []
+
+
 def test_timings_of_steps_and_batches(spark):
     timings = Timings(spark)
     frame = spark.range(0, 1000, 1, 4)
