@@ -19,14 +19,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quaero.functions import vectors as V
-from quaero.operators.ranking import top_similar
+from quaero.operators.best import Best
+from quaero.operators.ranking import cosines, top_similar
+from quaero.sources.shared import ready_to_checkpoint
 
 #: Rows of the sample that is learned from, most lists, pieces of a vector, rounds of learning, and probes in one block.
 MOST_ROWS, MOST_LISTS, PIECES, ROUNDS, PROBES_AT_ONCE = 20_000, 1024, 16, 12, 2000
 #: Entries of a piece's table: one byte.
 ENTRIES = 256
+#: Vectors that a task scores together, probes in one product of matrices, and pairs that are compared exactly at once.
+ROWS_AT_ONCE, PROBES_TOGETHER, PAIRS_AT_ONCE = 1 << 16, 256, 1 << 16
 
 
 def _units(rows: np.ndarray) -> np.ndarray:
@@ -112,12 +117,37 @@ def search(indexed: DataFrame, vectors: DataFrame, probes: DataFrame, quantiser:
         some = _scanned(indexed, quantiser, [r[0] for r in rows], np.array([r[1] for r in rows], float), k * again, lists, key, kind)
         found = some if found is None else found.unionByName(some)
     best = found.distinct().withColumn("n", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("near"), key))).where(F.col("n") <= k * again)
-    left = usable.select(F.col(key).alias("probe"), F.col("embedding").alias("pv"))
-    met = best.join(left, "probe").join(vectors.select(key, "embedding"), key)
-    scored = met.select("probe", key, F.round(V.cosine(F.col("pv"), F.col("embedding")), 6).alias("cos"))
+    ready_to_checkpoint(spark)
+    met = best.groupBy(key).agg(F.collect_list("probe").alias("probes")).checkpoint().join(vectors.select(key, "embedding"), key)
+    scored = None
+    for n in range(blocks):
+        rows = usable.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == n).collect()
+        some = _compared(met, dict((r[0], r[1]) for r in rows), key, kind)
+        scored = some if scored is None else scored.unionByName(some)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("cos"), key))).where(F.col("rank") <= k)
 
 
+def _compared(met: DataFrame, probes: dict, key: str, kind: str) -> DataFrame:
+    """(probe, key, cos) of vectors beside the ids of the probes that they may be near to; a vector is moved once, the probes of a block travel to the executors."""
+    shared = met.sparkSession.sparkContext.broadcast(({p: i for i, p in enumerate(probes)}, np.array(list(probes.values()), float)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, rows = shared.value
+        for b in batches:
+            parents, asked = b["probes"].value_parent_indices().to_numpy(), b["probes"].flatten()
+            known = np.array([number.get(p, -1) for p in asked.to_pylist()], np.int64)
+            at = np.flatnonzero(known >= 0)
+            if not len(at):
+                continue
+            own = b["embedding"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(b), -1)
+            for a in range(0, len(at), PAIRS_AT_ONCE):
+                some = at[a : a + PAIRS_AT_ONCE]
+                cos = cosines(rows[known[some]], own[parents[some]])
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(some)), b[key].take(pa.array(parents[some])), pa.array(cos)], ["probe", key, "cos"])
+
+    return met.where(F.size("embedding") == shared.value[1].shape[-1]).mapInArrow(run, f"probe {kind}, {key} {kind}, cos double") if probes else met.sparkSession.createDataFrame([], f"probe {kind}, {key} {kind}, cos double")
+
+
 def tuned(indexed: DataFrame, vectors: DataFrame, quantiser: Quantiser, k: int = 10, target: float = 0.95, most: int = 20, seed: int = 3, key: str = "vec_id") -> tuple[int, int]:
     """(lists, again) with which a search finds ``target`` of the exact neighbours, measured against brute force over all vectors for ``most`` probes of least hash. Lists are doubled
     until it is reached or all are read, then the exact comparisons, until they are all vectors. Vectors in tight clusters need few lists, spread ones about all; then only the codes
@@ -137,41 +167,50 @@ def _scanned(indexed: DataFrame, quantiser: Quantiser, ids: list, rows: np.ndarr
     if not ids:
         return spark.createDataFrame([], f"probe {kind}, {key} {kind}, near double")
     units = _units(rows)
-    to_lists = units @ quantiser.centroids.T
-    chosen = np.argsort((quantiser.centroids**2).sum(1) - 2 * to_lists, 1, kind="stable")[:, :lists]
-    pieces, entries, _ = quantiser.tables.shape
-    look = np.einsum("npd,ped->npe", units.reshape(len(units), pieces, -1), quantiser.tables)
-    asked: dict[int, list[int]] = {}
-    for i, row in enumerate(chosen.tolist()):
-        for x in row:
-            asked.setdefault(x, []).append(i)
-    shared, everywhere = spark.sparkContext.broadcast((ids, to_lists, look, asked)), len(asked) == len(quantiser.centroids)
+    chosen = np.argsort((quantiser.centroids**2).sum(1) - 2 * units @ quantiser.centroids.T, 1, kind="stable")[:, :lists]
+    asked: dict[int, np.ndarray] = {x: np.flatnonzero((chosen == x).any(1)) for x in np.unique(chosen).tolist()}
+    pieces, everywhere = np.arange(len(quantiser.tables)), len(asked) == len(quantiser.centroids)
+    shared = spark.sparkContext.broadcast((ids, units, asked, quantiser))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, to_lists, look, asked = shared.value
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            own, near = np.array(b[key].to_pylist(), object), b["list"].to_numpy()
-            codes = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(len(b), -1)
-            for x in np.unique(near).tolist():
-                at = np.flatnonzero(near == x)
-                for i in asked.get(x, ()):
-                    score = to_lists[i, x] + look[i][np.arange(pieces), codes[at]].sum(1)
-                    keys, values = own[at], score
-                    if i in best:
-                        keys, values = np.concatenate([best[i][0], keys]), np.concatenate([best[i][1], values])
-                    other = keys != ids[i]
-                    keys, values = keys[other], values[other]
-                    if len(keys) > most:
-                        top = np.lexsort((keys, -values))[:most]
-                        keys, values = keys[top], values[top]
-                    best[i] = keys, values
-        for i, (keys, values) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(keys), b.schema.field(key).type), pa.array(keys.tolist(), b.schema.field(key).type), pa.array(values)], ["probe", key, "near"])
-
+        ids, units, asked, q = shared.value
+        names, best = pa.array(ids, arrow).to_numpy(zero_copy_only=False), Best(len(ids), most)
+        for own, near, codes in _gathered(batches, key):
+            # The look-ups of a code are parts of the product with the vector that it stands for.
+            stands = q.centroids[near] + q.tables[pieces, codes].reshape(len(codes), -1)
+            groups = [(np.arange(len(ids)), np.arange(len(own)))] if lists >= len(q.centroids) else [(asked[x], np.flatnonzero(near == x)) for x in np.unique(near).tolist() if x in asked]
+            for wanted, rows in groups:
+                for a in range(0, len(wanted), PROBES_TOGETHER):
+                    some = wanted[a : a + PROBES_TOGETHER]
+                    for r in range(0, len(rows), 1 << 14):
+                        part = rows[r : r + (1 << 14)]
+                        scores = units[some] @ stands[part].T
+                        scores[names[some][:, None] == own[part][None, :]] = -np.inf
+                        i, j = best.hits(some, scores)
+                        values = scores[i, j]
+                        good = values > -np.inf
+                        best.offer(some[i[good]], own[part][j[good]], values[good])
+        i, keys, values = best.found()
+        yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i.tolist()], arrow), pa.array(keys.tolist(), arrow), pa.array(values)], ["probe", key, "near"])
+
+    arrow = to_arrow_type(indexed.schema[key].dataType)
     return (indexed if everywhere else indexed.where(F.col("list").isin(sorted(asked)))).select(key, "list", "code").mapInArrow(run, f"probe {kind}, {key} {kind}, near double")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, lists, codes) of about ``ROWS_AT_ONCE`` rows."""
+    held, n = [], 0
+    for b in batches:
+        if len(b):
+            held.append((b[key].to_numpy(zero_copy_only=False), b["list"].to_numpy(), np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(len(b), -1)))
+            n += len(b)
+        if n >= ROWS_AT_ONCE:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def scored_share(indexed: DataFrame, probes: DataFrame, quantiser: Quantiser, lists: int = 8) -> float:
     """Share of the indexed vectors that :func:`search` scores for a probe, on average; the probes are a stated set."""
     rows = np.array([r.embedding for r in probes.where(V.norm(F.col("embedding")) > 0).select("embedding").collect()], float)
