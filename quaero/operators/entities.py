@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from itertools import count
 
@@ -110,6 +111,20 @@ def _entities(text: str | None, known: dict[str, tuple[str, ...]]) -> list[dict]
     return [{"phrase": p, "types": list(k)} for p, k in tag_text(text or "", known).items()]
 
 
+_RUN = re.compile(r"[^\W_]+")
+
+
+def first_runs(known: Iterable[str]) -> frozenset[str]:
+    """The first run of letters and digits of each term that an entity can begin with: a token, so without white space, and no stop word."""
+    return frozenset(m[0] for t in known if t not in T.STOP_WORDS and len(t.split()) == 1 and (m := _RUN.search(t.replace("\u03c2", "\u03c3"))))
+
+
+def may_have_entity(text: str | None, firsts: frozenset[str]) -> bool:
+    """Whether a text has one of these runs. Tokens end beside whole runs, so a text without one has no entity and need not be split into tokens. Both forms of a small sigma are one here, since
+    lower-casing chooses between them by what stands around."""
+    return bool(text) and not firsts.isdisjoint(_RUN.findall(text.lower().replace("\u03c2", "\u03c3")))
+
+
 def asked_phrases(text: str, most: int) -> list[str]:
     """Every phrase of up to ``most`` words that :func:`tag_text` may look up in a sentence, whatever the dictionary has."""
     words = [t for t, _, _ in tokens(text)]
@@ -123,11 +138,13 @@ def tagged(sentences: DataFrame, known: DataFrame, column: str = "sentence", mos
     rows = known.groupBy(F.lower("term").alias("term")).agg(F.array_sort(F.collect_set("entity_type")).alias("types")).limit(most_terms + 1).collect()
     if len(rows) > most_terms:
         return tagged_by_join(sentences, known, column)
-    table = sentences.sparkSession.sparkContext.broadcast({r.term: _in_order(r.types) for r in rows})
+    terms = {r.term: _in_order(r.types) for r in rows if r.term is not None}
+    table = sentences.sparkSession.sparkContext.broadcast((terms, first_runs(terms)))
 
     @F.pandas_udf(ENTITIES)
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _entities(t, table.value))
+        known, firsts = table.value
+        return texts.map(lambda t: _entities(t, known) if may_have_entity(t, firsts) else [])
 
     return sentences.withColumn("entities", run(F.col(column)))
 

@@ -9,6 +9,16 @@ from quaero.operators import phrases as PH
 from quaero.operators import preparation as P
 
 
+def test_texts_without_a_first_word_have_no_entity():
+    known = {"und": ("disease",), "p53-x": ("gene",), "of the": ("disease",), "the": ("gene",), "ας": ("drug",), "protein": ("protein",), "'s": ("drug",), "--": ("drug",)}
+    firsts, rng = E.first_runs(known), random.Random(3)
+    assert firsts == {"und", "p53", "ασ", "protein", "s"}
+    pieces = ["und", "UND.", "p53-X,", "P53", "of", "the", "ΑΣ", "ΑΣ.b", "(und)", "dog's", "x", "'s", "--", "bund", "protein", "protein und", "und/x", "\n"]
+    texts = ["", None, *(" ".join(rng.choices(pieces, k=rng.randint(1, 4))) for _ in range(4000)), *("".join(rng.choices(pieces, k=3)) for _ in range(4000))]
+    left = [t for t in texts if not E.may_have_entity(t, firsts)]
+    assert len(left) > 300 and not any(E.tag_text(t or "", known) for t in left)
+
+
 def test_spans_are_swept_in_arrow_batches(spark):
     rows = spark.createDataFrame([(1, 0, 5), (1, 2, 3)], "k int, start int, end int")
     found = P.inside(rows, rows, "k")
