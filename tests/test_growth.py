@@ -24,3 +24,11 @@ def test_spans_are_swept_in_arrow_batches(spark):
     found = P.inside(rows, rows, "k")
     assert "MapInArrow" in found._jdf.queryExecution().toString()
     assert sorted(map(tuple, found.collect())) == [(1, 0, 5, 0, 5), (1, 2, 3, 0, 5)]
+
+
+def test_prefix_join_moves_heads_only(spark):
+    texts = [(3, "Ab c" + "x" * 5000), (2, "ABC" + "y" * 5000), (1, "a b"), (4, None), (5, "zz")]
+    keys = spark.createDataFrame([("ab",), ("abc",), ("zzz",), ("ABc",), (None,)], "key string")
+    found = P.join_or_prefix(keys, spark.createDataFrame(texts, "id long, question string"))
+    assert sorted(map(tuple, found.collect())) == [("ABc", 2), ("ab", 1), ("abc", 2)]
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
