@@ -15,6 +15,8 @@ from quaero.operators.vocabulary import lower_words
 
 #: Phrases that travel to the executors as one automaton; beyond it phrases are looked up by a join.
 MOST_AT_ONCE = 200_000
+#: Occurrences that a task holds before it passes them on.
+FOUND_AT_ONCE = 1 << 15
 
 _WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 
@@ -111,11 +113,21 @@ def occurrences(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", column
     shared = docs.sparkSession.sparkContext.broadcast((Automaton([r.words for r in rows]), names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, names = shared.value
+        automaton = shared.value[0]
         for b in batches:
-            found = [(i, a, z - a, names[k]) for i, t in enumerate(b["text"].to_pylist()) for a, z, k in automaton.find(words_of(t or ""))]
-            rows, start, size, phrase = zip(*found, strict=True) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b["key"].take(pa.array(rows, pa.int64())), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(phrase, pa.string())], [key, "start", "size", "phrase"])
+            found: list[tuple[int, int, int, int]] = []
+            for i, t in enumerate(b["text"]):
+                for a, z, k in automaton.find(words_of(t.as_py() or "")):
+                    found.append((i, a, z - a, k))
+                    if len(found) >= FOUND_AT_ONCE:
+                        yield batch(b, found)
+                        found = []
+            if found:
+                yield batch(b, found)
+
+    def batch(b: pa.RecordBatch, found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        rows, start, size, number = np.array(found).T
+        return pa.RecordBatch.from_arrays([b["key"].take(pa.array(rows)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array([shared.value[1][k] for k in number.tolist()], pa.string())], [key, "start", "size", "phrase"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(column).alias("text")).mapInArrow(run, f"{key} {kind}, start int, size int, phrase string")

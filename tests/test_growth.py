@@ -32,3 +32,10 @@ def test_prefix_join_moves_heads_only(spark):
     found = P.join_or_prefix(keys, spark.createDataFrame(texts, "id long, question string"))
     assert sorted(map(tuple, found.collect())) == [("ABc", 2), ("ab", 1), ("abc", 2)]
     assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_occurrences_of_one_text(spark):
+    n = PH.FOUND_AT_ONCE + 10
+    docs = spark.createDataFrame([(1, "a b " * n), (2, None)], "doc_id long, text string")
+    found = PH.occurrences(docs, spark.createDataFrame([("a b",), ("b a",)], "phrase string"))
+    assert {r.phrase: (r.n, r.last) for r in found.groupBy("phrase").agg(F.count("*").alias("n"), F.max("start").alias("last")).collect()} == {"a b": (n, 2 * n - 2), "b a": (n - 1, 2 * n - 3)}
