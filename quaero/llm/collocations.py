@@ -9,8 +9,8 @@ are frequent are ever counted, and blocks shrink from level to level.
 A pair's two ids point at its parents, the phrase without its last and without its first word. They give the counts of every first and last part (the
 cuts), and a phrase stands inside a longer one of nearly the same count just if it is a parent of such a phrase.
 
-A key's rows are at most one for each block, so the commonest word or pair of a language sends one row a million words. Blocks are bounded; their words
-and ids are compressed and kept in the shared checkpoint folder between levels.
+A block sends its words and pairs packed, one row for each bucket of names, and a bucket sends back one row for each block. A name is counted at most once for each block, so the
+commonest one is one entry in a million words. Blocks are bounded; their words and ids are compressed and kept in the shared checkpoint folder between levels.
 
 Defined results: a null text is empty, a null language is ``und``; ids and other columns are not read; repeated rows count again; an empty table gives no
 rows. Numbers are exact up to 10^15 occurrences.
@@ -21,10 +21,10 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,23 +36,35 @@ from quaero.sources.shared import ready_to_checkpoint
 BLOCK_WORDS = 1 << 21
 #: Bits of a block's number within its task.
 BLOCK_BITS = 20
-#: Pairs in one batch of a block's pairs.
-PAIRS_AT_ONCE = 1 << 16
-#: Frequent names that a task packs at once.
-NAMES_AT_ONCE = 1 << 20
+#: Rows (one for each word or pair and block) that one bucket holds, about.
+BUCKET_ROWS = 1 << 22
 
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _PIECES, _WORDS = re.compile(r"[.,;:!?\x0A-\x0D]"), re.compile(r"[^\x20\x09]+")
 
 
-def _packed(ids: np.ndarray) -> bytes:
-    """Ids as compressed bytes, behind their number of bytes."""
-    raw = ids.astype(np.int64).tobytes()
+def _compressed(raw: bytes) -> bytes:
+    """Bytes compressed, behind their number."""
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
+def _decompressed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    """Numbers from -1 on, compressed: first all their lowest bytes, then all the next ones, as many as the largest needs."""
+    above = ids.astype(np.int64) + 1
+    width = max(1, (int(above.max(initial=0)).bit_length() + 7) // 8)
+    return _compressed(bytes([width]) + above.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+
+
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.int64)
+    raw = np.frombuffer(_decompressed(data), np.uint8)
+    planes = raw[1:].reshape(raw[0], -1)
+    whole = np.zeros((planes.shape[1], 8), np.uint8)
+    whole[:, : raw[0]] = planes.T
+    return whole.view(np.int64).reshape(-1) - 1
 
 
 # Level 1: words ----------------------------------------------------------------------------------------------------
@@ -71,18 +83,20 @@ class _Open:
         self.ids.append(-1)
 
 
+_BLOCKS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("size", pa.int64()), ("n", pa.int64())])
+
+
 def _into_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, lang, words, counts, ids): the block's distinct words and their counts, joined by spaces, and the text as numbers of words."""
+    """(block, lang, words, counts, ids, size, n): the block's distinct words, joined by spaces, and their counts, the text as numbers of words, how many words are distinct and how many there are."""
     block, blocks, size = TaskContext.get().partitionId() << BLOCK_BITS, {}, 0
 
     def closed() -> Iterator[pa.RecordBatch]:
         nonlocal block, size
         for lang, b in blocks.items():
             ids = np.frombuffer(b.ids, np.int64)
-            counts = np.bincount(ids[ids >= 0], minlength=len(b.numbers)).tolist()
-            row = [block], [lang], [" ".join(b.numbers)], [" ".join(map(str, counts))], [_packed(ids)]
-            kinds = pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["block", "lang", "words", "counts", "ids"])
+            counts = np.bincount(ids[ids >= 0], minlength=len(b.numbers))
+            row = [block], [lang], [_compressed(" ".join(b.numbers).encode())], [_packed(counts)], [_packed(ids)], [len(counts)], [counts.sum()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, _BLOCKS.types, strict=True)], schema=_BLOCKS)
             block += 1
         blocks.clear()
         size = 0
@@ -102,24 +116,20 @@ def _into_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _renamed(blocks: DataFrame, names: DataFrame, rename: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
     """Blocks with their ids replaced by ``rename``; ``names`` has the replacements of each block."""
-    return blocks.groupBy("block").cogroup(names.withColumnRenamed("block", "named").groupBy("named")).applyInArrow(rename, "block long, ids binary").checkpoint()
+    return blocks.groupBy("block").cogroup(names.withColumnRenamed("block", "named").groupBy("named")).applyInArrow(rename, "block long, ids binary, size long").checkpoint()
 
 
-_SEQUENCES = pa.schema([("block", pa.int64()), ("ids", pa.binary())])
+_SEQUENCES = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("size", pa.int64())])
 
 
 def _sequence(block: pa.Table, ids: np.ndarray) -> pa.Table:
-    """The block's row with new ids, runs of -1 as one; nothing if no two neighbours are left."""
+    """The block's row with new ids, runs of -1 as one, and the number of neighbours; nothing if no two are left."""
     gap = ids < 0
     ids = ids[~(gap & np.append(True, gap[:-1]))]
-    if not len(ids) or not np.any((ids[:-1] >= 0) & (ids[1:] >= 0)):
+    pairs = int(((ids[:-1] >= 0) & (ids[1:] >= 0)).sum())
+    if not pairs:
         return _SEQUENCES.empty_table()
-    return pa.table([block["block"], pa.array([_packed(ids)], pa.binary())], _SEQUENCES)
-
-
-def _table_of(names: pa.Table) -> np.ndarray:
-    """The names of a block, one row for each part of the old name and a last one for the new id."""
-    return np.concatenate([_unpacked(x).reshape(w, -1) for x, w in zip(names["names"].to_pylist(), names["width"].to_pylist(), strict=True)], axis=1)
+    return pa.table([block["block"], pa.array([_packed(ids)], pa.binary()), pa.array([pairs])], _SEQUENCES)
 
 
 def _name_words(block: pa.Table, names: pa.Table) -> pa.Table:
@@ -127,94 +137,160 @@ def _name_words(block: pa.Table, names: pa.Table) -> pa.Table:
     if not len(block) or not len(names):
         return _SEQUENCES.empty_table()
     old = _unpacked(block["ids"][0].as_py())
-    number, named = _table_of(names)
-    ids = np.full(max(old.max(), number.max()) + 2, -1, np.int64)  # its last place is that of -1
-    ids[number] = named
+    ids = np.full(old.max() + 2, -1, np.int64)  # its last place is that of -1
+    for number, named in (_unpacked(x).reshape(2, -1) for x in names["names"].to_pylist()):
+        ids[np.cumsum(number)] = named
     return _sequence(block, ids[old])
 
 
-def _name_pairs(block: pa.Table, names: pa.Table) -> pa.Table:
-    """Neighbouring ids become the id of their pair, -1 for pairs that are not frequent."""
-    if not len(block) or not len(names):
-        return _SEQUENCES.empty_table()
-    old = _unpacked(block["ids"][0].as_py())
-    x, y, named = _table_of(names)
-    known, inverse = np.unique(np.concatenate([x, y, old]), return_inverse=True)
-    key = inverse[: len(x)] * len(known) + inverse[len(x) : 2 * len(x)]
-    own = inverse[2 * len(x) :]
-    pair = own[:-1] * len(known) + own[1:]
-    order = np.argsort(key)
-    at = np.minimum(np.searchsorted(key[order], pair), len(key) - 1)
-    return _sequence(block, np.where(key[order][at] == pair, named[order][at], -1))
-
-
-def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, x, y, n): each block's distinct pairs of neighbours."""
-    for b in batches:
-        for block, data in zip(b["block"].to_pylist(), b["ids"].to_pylist(), strict=True):
-            ids = _unpacked(data)
-            known, inverse = np.unique(ids, return_inverse=True)
-            pairs, n = np.unique((inverse[:-1] * len(known) + inverse[1:])[(ids[:-1] >= 0) & (ids[1:] >= 0)], return_counts=True)
-            for a in range(0, len(pairs), PAIRS_AT_ONCE):
-                some = pairs[a : a + PAIRS_AT_ONCE]
-                columns = np.full(len(some), block), known[some // len(known)], known[some % len(known)], n[a : a + PAIRS_AT_ONCE].astype(np.int64)
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["block", "x", "y", "n"])
+def _pairs_in(ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, n, bucket) of the distinct pairs of neighbours in order, and the places of neighbours with the number of their pair."""
+    known, inverse = np.unique(ids, return_inverse=True)
+    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    pairs, which, n = np.unique(inverse[at] * len(known) + inverse[at + 1], return_inverse=True, return_counts=True)
+    x, y = known[pairs // len(known)], known[pairs % len(known)]
+    mixed = (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + y.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    return x, y, n, ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), np.stack([at, which])
+
+
+def _name_pairs(buckets: int, level: int, levels: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Neighbouring ids become the id of their pair, -1 for pairs that are not frequent. What a bucket sends back has one number for each pair that the block sent to it."""
+
+    def run(block: pa.Table, names: pa.Table) -> pa.Table:
+        if not len(block) or not len(names):
+            return _SEQUENCES.empty_table()
+        old = _unpacked(block["ids"][0].as_py())
+        _, _, _, bucket, (at, which) = _pairs_in(old, buckets)
+        named = np.full(len(bucket), -1, np.int64)
+        order = np.argsort(bucket, kind="stable")
+        begins = np.searchsorted(bucket[order], np.arange(buckets))
+        for k, data in zip(names["bucket"].to_pylist(), names["names"].to_pylist(), strict=True):
+            steps = _unpacked(data)
+            often = np.flatnonzero(steps >= 0)
+            named[order[begins[k] + often]] = _ids(np.cumsum(steps[often]), k, buckets, level, levels)
+        ids = np.full(len(old), -1, np.int64)
+        ids[at] = named[which]
+        return _sequence(block, ids)
 
+    return run
+
+
+def _ids(ranks: np.ndarray, bucket: int, buckets: int, level: int, levels: int) -> np.ndarray:
+    """Ids of a bucket's frequent names: they count up in steps of ``buckets`` from the bucket's own number, so they stay small; those of different levels differ."""
+    return (ranks * buckets + bucket) * levels + level - 1
 
-# All levels --------------------------------------------------------------------------------------------------------
 
+def _dealt(buckets: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """(bucket, places of its rows, its rows packed) of rows whose first column rises; it is kept as differences."""
+    order = np.argsort(buckets, kind="stable")
+    found, begins = np.unique(buckets[order], return_index=True)
+    for bucket, at in zip(found.tolist(), np.split(order, begins[1:]), strict=True):
+        yield bucket, at, _packed(np.concatenate([np.diff(columns[0][at], prepend=0), *(c[at] for c in columns[1:])]))
 
-def _gathered(key: list[str], old: list[str], schema: pa.Schema, tasks: int, level: int, levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of frequent names, those of a key together, become for each block that a task met one row with the packed ``old`` names and new ids, and for each name one row with its key
-    and count. Ids count up in steps of ``tasks`` from the task's own number, so they stay small; those of different levels differ."""
 
-    def laid_out(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+def _words_of(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, block, lang, words, rows): for each bucket of words those that a block has, with their numbers and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, lang, words, counts in zip(*(b[c].to_pylist() for c in ("block", "lang", "words", "counts")), strict=True):
+                seed, every = crc32(lang.encode()), _decompressed(words).split(b" ")
+                deal = np.array([crc32(w, seed) for w in every], np.int64) % buckets
+                rows = [(k, b" ".join([every[i] for i in at.tolist()]), x) for k, at, x in _dealt(deal, np.arange(len(every)), _unpacked(counts))]
+                numbers, joined, packed = zip(*rows, strict=True)
+                columns = numbers, [block] * len(rows), [lang] * len(rows), map(_compressed, joined), packed
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _WORDS_DEALT, strict=True)], schema=_WORDS_DEALT)
+
+    return run
 
-    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(held, axis=1)
-        rows = rows[:, np.argsort(rows[0], kind="stable")]
-        blocks, begins = np.unique(rows[0], return_index=True)
-        parts = [_packed(rows[1:, a:z].reshape(-1)) for a, z in zip(begins, [*begins[1:], rows.shape[1]], strict=True)]
-        return laid_out({"block": pa.array(blocks), "names": pa.array(parts, pa.binary()), "width": pa.array(np.full(len(blocks), len(old) + 1))}, len(blocks))
+
+def _pairs_of(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, block, rows): for each bucket of pairs the distinct pairs of neighbours that a block has, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        task, n, last = TaskContext.get().partitionId(), 0, None
-        if task >= tasks:
-            raise ValueError(f"{task + 1} tasks share the ids of {tasks}")
         for b in batches:
-            if not len(b):
-                continue
-            begins = np.zeros(len(b), bool)
-            for c in key:
-                begins[1:] |= pc.not_equal(b[c][1:], b[c][:-1]).to_numpy(zero_copy_only=False)
-            begins[0] = last != [b[c][0].as_py() for c in key]
-            last = [b[c][-1].as_py() for c in key]
-            ids = ((n + np.cumsum(begins) - 1) * tasks + task) * levels + level - 1
-            n += int(begins.sum())
-            held.append(np.stack([*(b[c].to_numpy() for c in ("block", *old)), ids]))
-            first = b.filter(pa.array(begins))
-            yield laid_out({"id": pa.array(ids[begins]), **{c: first[c] for c in ("f", *key)}}, len(first))
-            if sum(h.shape[1] for h in held) >= NAMES_AT_ONCE:
-                yield packed(held)
-                held = []
-        if held:
-            yield packed(held)
+            for block, data in zip(b["block"].to_pylist(), b["ids"].to_pylist(), strict=True):
+                x, y, n, deal, _ = _pairs_in(_unpacked(data), buckets)
+                numbers, _, packed = zip(*_dealt(deal, x, y, n), strict=True)
+                columns = numbers, [block] * len(numbers), packed
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _PAIRS_DEALT, strict=True)], schema=_PAIRS_DEALT)
 
     return run
 
 
-def _named(rows: DataFrame, key: list[str], old: list[str], k: int, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """(``names``: block, names, width; ``level``: id, f and the key) of those of a level's rows (one for each key and block) whose key occurs ``least`` times.
+_PAIRS_DEALT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("rows", pa.binary())])
+_WORDS_DEALT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("rows", pa.binary())])
+
+
+# All levels --------------------------------------------------------------------------------------------------------
+
+
+def _counted(key: list[str], least: int, buckets: int, level: int, levels: int) -> Callable[[pa.Table], pa.Table]:
+    """One bucket's rows of all blocks become one row for each block with its frequent names, and one row for each of these names with its key and count. For words a block gets its
+    numbers of words and their ids; for pairs, which are in order on both sides, the steps between the ranks of its frequent ones, and -1 for each other pair that it sent."""
+    words = "word" in key
+    schema = pa.schema([*_NAMES, *((c, pa.string() if words else pa.int64()) for c in key)])
+
+    def laid_out(columns: dict[str, pa.Array], n: int) -> pa.Table:
+        return pa.table([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema)
+
+    def run(bucket: pa.Table) -> pa.Table:
+        parts = [_unpacked(x).reshape(2 if words else 3, -1) for x in bucket["rows"].to_pylist()]
+        sizes = [p.shape[1] for p in parts]
+        old = [np.concatenate([np.cumsum(p[0]) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in range(1, len(parts[0]) - 1))]
+        n = np.concatenate([p[-1] for p in parts])
+        if words:
+            names = pa.chunked_array([pa.array(_decompressed(x).split(b" "), pa.binary()) for x in bucket["words"].to_pylist()]).combine_chunks().dictionary_encode()
+            langs = bucket["lang"].combine_chunks().dictionary_encode()
+            by = np.repeat(langs.indices.to_numpy(), sizes), names.indices.to_numpy()
+        else:
+            by = old
+        order = np.lexsort(by[::-1])
+        begins = np.append(True, np.any([c[order][1:] != c[order][:-1] for c in by], axis=0))
+        first = np.flatnonzero(begins)
+        f = np.add.reduceat(n[order], first)
+        often, number = np.flatnonzero(f >= least), bucket["bucket"][0].as_py()
+        if not len(often):
+            return schema.empty_table()
+        ranks = np.full(len(f), -1, np.int64)
+        ranks[often] = np.arange(len(often))
+        own = np.empty(len(n), np.int64)
+        own[order] = ranks[np.cumsum(begins) - 1]
+        first = order[first[often]]
+        met, packed = [], []
+        for block, of in zip(bucket["block"].to_pylist(), np.split(np.arange(len(n)), np.cumsum(sizes)[:-1]), strict=True):
+            at = of[own[of] >= 0]
+            if len(at):
+                met.append(block)
+                if words:
+                    packed.append(_packed(np.concatenate([np.diff(old[0][at], prepend=0), _ids(own[at], number, buckets, level, levels)])))
+                else:
+                    steps = np.full(len(of), -1, np.int64)
+                    steps[at - of[0]] = np.diff(own[at], prepend=0)
+                    packed.append(_packed(steps))
+        keys = [names.take(pa.array(by[c][first])) for c, names in enumerate((langs.dictionary, names.dictionary))] if words else [pa.array(c[first]) for c in by]
+        names = {"block": pa.array(met), "bucket": pa.array([number] * len(met)), "names": pa.array(packed, pa.binary())}
+        ids = _ids(np.arange(len(often)), number, buckets, level, levels)
+        return pa.concat_tables([laid_out(names, len(met)), laid_out({"id": pa.array(ids), "f": pa.array(f[often]), **dict(zip(key, keys, strict=True))}, len(often))])
+
+    return run
+
+
+_NAMES = [("block", pa.int64()), ("bucket", pa.int64()), ("names", pa.binary()), ("id", pa.int64()), ("f", pa.int64())]
+
+
+def _named(blocks: DataFrame, key: list[str], k: int, longest: int, least: int) -> tuple[DataFrame, DataFrame, int]:
+    """(``names``: block, bucket, names; ``level``: id, f and the key; number of buckets) of the words or pairs of ``blocks`` that occur ``least`` times.
 
-    One shuffle brings a key's rows together: they give its count, and the task that holds them gives it an id."""
-    kinds, conf = dict(rows.dtypes), rows.sparkSession.conf
-    tasks = max(int(conf.get(name, None) or 1) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
-    met = rows.withColumn("f", F.sum("n").over(Window.partitionBy(*key))).where(F.col("f") >= least).drop("n")
-    schema = pa.schema([("block", pa.int64()), ("names", pa.binary()), ("width", pa.int64()), ("id", pa.int64()), ("f", pa.int64()), *((c, pa.string() if kinds[c] == "string" else pa.int64()) for c in key)])
-    gathered = met.mapInArrow(_gathered(key, old, schema, tasks, k, longest), f"block long, names binary, width long, id long, f long, {', '.join(f'{c} {kinds[c]}' for c in key)}").checkpoint()
-    return gathered.where("names is not null").select("block", "names", "width"), gathered.where("names is null").select("id", "f", *key)
+    Names are dealt into buckets by hash, about ``BUCKET_ROWS`` rows of all blocks in each; a block sends one packed row to each bucket, where its names are counted and get their ids."""
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(tasks, (blocks.agg(F.sum("size")).first()[0] or 0) // BUCKET_ROWS + 1)
+    deal, kinds, kind = (_words_of, _WORDS_DEALT, "string") if "word" in key else (_pairs_of, _PAIRS_DEALT, "long")
+    names = {"int64": "long", "string": "string", "binary": "binary"}
+    dealt = blocks.mapInArrow(deal(buckets), ", ".join(f"{f.name} {names[str(f.type)]}" for f in kinds)).repartition(buckets, "bucket")
+    out = ", ".join([*(f"{c} {names[str(t)]}" for c, t in _NAMES), *(f"{c} {kind}" for c in key)])
+    gathered = dealt.groupBy("bucket").applyInArrow(_counted(key, least, buckets, k, longest), out).checkpoint()
+    return gathered.where("names is not null").select("block", "bucket", "names"), gathered.where("names is null").select("id", "f", *key), buckets
 
 
 def phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -222,11 +298,9 @@ def phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[DataFr
     are the ids of the phrase without its last and its first word (null for words), ``heads`` the counts of its first 1 to k - 1 words, ``tails`` those of its last ones."""
     ready_to_checkpoint(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where(F.length("text") > 0)
-    first = texts.mapInArrow(_into_blocks, "block long, lang string, words string, counts string, ids binary").checkpoint()
-    parts = first.select("block", "lang", F.posexplode(F.arrays_zip(F.split("words", " ").alias("word"), F.split("counts", " ").alias("n"))).alias("number", "w"))
-    words = parts.select("block", F.col("number").cast("long").alias("number"), "lang", F.col("w.word").alias("word"), F.col("w.n").cast("long").alias("n"))
-    totals = first.select("lang", F.aggregate(F.split("counts", " "), F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    names, level = _named(words, ["lang", "word"], ["number"], 1, longest, least)
+    first = texts.mapInArrow(_into_blocks, "block long, lang string, words binary, counts binary, ids binary, size long, n long").checkpoint()
+    totals = first.groupBy("lang").agg(F.sum("n").alias("n"))
+    names, level, _ = _named(first, ["lang", "word"], 1, longest, least)
     blocks = _renamed(first.select("block", "ids"), names, _name_words)
     nothing = F.array().cast("array<long>")
     level = level.select(
@@ -235,10 +309,9 @@ def phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[DataFr
     )
     found = level
     for k in range(2, longest + 1):
-        pairs = blocks.mapInArrow(_pairs_of, "block long, x long, y long, n long")
-        names, ids = _named(pairs, ["x", "y"], ["x", "y"], k, longest, least)
+        names, ids, buckets = _named(blocks, ["x", "y"], k, longest, least)
         if k < longest:
-            blocks = _renamed(blocks, names, _name_pairs)
+            blocks = _renamed(blocks, names, _name_pairs(buckets, k, longest))
         left = level.select(F.col("id").alias("x"), "lang", "phrase", F.col("f").alias("left_f"), F.col("heads").alias("left_heads"))
         right = level.select(F.col("id").alias("y"), F.col("f").alias("right_f"), F.col("tails").alias("right_tails"), "last")
         level = ids.join(left, "x").join(right, "y").select(

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quaero.llm import collocations
@@ -79,3 +81,13 @@ def test_products_beyond_64_bits(spark):
 def test_nothing_to_count(spark):
     assert collocations.collocations(spark.createDataFrame([], SCHEMA)).collect() == []
     assert collocations.collocations(spark.createDataFrame([(1, None, None, 1, "a", "i", 2, 3)] * 3, SCHEMA)).collect() == []
+
+
+def test_a_block_sends_few_bytes_for_a_pair():
+    ids = (np.random.default_rng(5).zipf(1.3, 200_000) % 20_000).astype(np.int64) * 35 + 3
+    block = pa.record_batch({"block": pa.array([1]), "ids": pa.array([collocations._packed(ids)], pa.binary())})
+    pairs = len(np.unique(np.stack([ids[:-1], ids[1:]]), axis=1).T)
+    sent = list(collocations._pairs_of(7)(iter([block])))
+    assert sum(b.nbytes for b in sent) < 6 * pairs
+    counted = [collocations._unpacked(r).reshape(3, -1)[-1].sum() for b in sent for r in b["rows"].to_pylist()]
+    assert sum(counted) == len(ids) - 1
