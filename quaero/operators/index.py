@@ -11,6 +11,7 @@ their own, and searches return the id once, with the best of their scores; other
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,7 +23,11 @@ from pyspark.sql import functions as F
 from quaero.operators.phrases import words_of
 
 #: Postings after which a task closes its segments, documents in one block, and buckets of terms.
-SEGMENT_POSTINGS, BLOCK_DOCS, BUCKETS = 1 << 22, 4096, 64
+SEGMENT_POSTINGS, BLOCK_DOCS, BUCKETS = 1 << 21, 4096, 64
+#: Bytes up to which a block is not compressed: to begin a compression costs more than so short a one saves.
+SMALL = 1024
+#: Blocks and their bytes after which a task passes on a batch.
+BATCH_BLOCKS, BATCH_BYTES = 4096, 1 << 23
 #: Occurrences at which a term gives half of its weight.
 HALF = 1.2
 
@@ -34,18 +39,34 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _encoded(docs: np.ndarray, rows: np.ndarray, counts: np.ndarray, places: np.ndarray) -> bytes:
-    """Documents and their rows as differences, then how often the term is in each, then its places as differences within a document."""
-    begins = np.cumsum(counts) - counts
-    steps = np.diff(places, prepend=0)
-    steps[begins] = places[begins]
-    raw = np.concatenate([[len(docs)], np.diff(docs, prepend=0), np.diff(rows, prepend=0), counts, steps]).astype(np.int64).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+def _encoded(docs: np.ndarray, rows: np.ndarray, counts: np.ndarray, places: np.ndarray, begins: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
+    """Blocks that begin at ``starts``, each with its number of documents, documents and their rows as differences, how often the term is in each, and its places as differences
+    within a document; those of a document begin at ``begins``."""
+
+    def steps(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        found = np.diff(x, prepend=0)
+        found[at] = x[at]
+        return found
+
+    n, m = np.diff(starts, append=len(docs)), np.add.reduceat(counts, starts)
+    ends = np.cumsum(1 + 3 * n + m)
+    at = ends - (1 + 3 * n + m)
+    raw = np.empty(ends[-1], np.int64)
+    raw[at] = n
+    here = np.repeat(at + 1 - starts, n) + np.arange(len(docs))
+    for k, column in enumerate((steps(docs, starts), steps(rows, starts), counts)):
+        raw[here + k * np.repeat(n, n)] = column
+    raw[np.repeat(at + 1 + 3 * n - begins[starts], m) + np.arange(len(places))] = steps(places, begins)
+    whole = raw.view(np.uint8).data
+    for a, z in zip((8 * at).tolist(), (8 * ends).tolist(), strict=True):
+        block = bytes(whole[a:z])
+        yield len(block).to_bytes(8, "little") + (pa.compress(block, "zstd", asbytes=True) if len(block) > SMALL else block)
 
 
 def decoded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(documents, their rows, number of places of each, places) of a block."""
-    raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.int64)
+    size = int.from_bytes(data[:8], "little")
+    raw = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True) if size > SMALL else data[8:], np.int64)
     n = raw[0]
     docs, rows, counts, steps = np.cumsum(raw[1 : n + 1]), np.cumsum(raw[n + 1 : 2 * n + 1]), raw[2 * n + 1 : 3 * n + 1], raw[3 * n + 1 :]
     total = np.cumsum(steps)
@@ -60,38 +81,52 @@ def contribution(tf: np.ndarray | Column) -> np.ndarray | Column:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[tuple[int, int, list[int]]]] = {}
-    row, n = TaskContext.get().partitionId() << 33, 0
+    """Blocks of a task's documents. An open segment has a number for each term and three small numbers for each posting, in arrays."""
+    numbers: dict[str, int] = {}
+    terms, rows, places, docs = array("i"), array("i"), array("i"), array("q")
+    before = TaskContext.get().partitionId() << 33
 
     def closed() -> Iterator[pa.RecordBatch]:
-        rows = []
-        for term, postings in held.items():
-            postings.sort()
-            for a in range(0, len(postings), BLOCK_DOCS):
-                block = postings[a : a + BLOCK_DOCS]
-                docs, numbers, lists = zip(*block, strict=True)
-                counts = np.array(list(map(len, lists)))
-                data = _encoded(np.array(docs), np.array(numbers), counts, np.array([x for p in lists for x in p]))
-                rows.append((term, block[0][0], block[-1][0], len(block), float(contribution(counts.max())), data))
-            if len(rows) >= 4096:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
-        held.clear()
+        nonlocal before
+        if terms:
+            names, of = list(numbers), np.array(docs)
+            # Rows in order of documents are the smaller key; places rise within a row, and the sort is stable.
+            rank = np.empty(len(of), np.int32)
+            by_doc = np.argsort(of, kind="stable")
+            rank[by_doc] = np.arange(len(of), dtype=np.int32)
+            order = np.lexsort((rank[np.array(rows)], np.array(terms)))
+            term, row, place = (np.array(x)[order] for x in (terms, rows, places))
+            new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+            counts, term, row = np.diff(new, append=len(place)), term[new], row[new]
+            begins = np.flatnonzero(np.diff(term, prepend=-1) != 0)
+            inside = np.arange(len(term)) - np.repeat(begins, np.diff(begins, append=len(term)))
+            starts = np.flatnonzero(inside % BLOCK_DOCS == 0)
+            doc, most = of[row], contribution(np.maximum.reduceat(counts, starts)).tolist()
+            ends = np.append(starts[1:], len(term))
+            first, last, n = doc[starts].tolist(), doc[ends - 1].tolist(), (ends - starts).tolist()
+            found, size = [], 0
+            for k, (t, data) in enumerate(zip(term[starts].tolist(), _encoded(doc, row + np.int64(before), counts, place, new, starts), strict=True)):
+                found.append((names[t], first[k], last[k], n[k], most[k], data))
+                size += len(data)
+                if len(found) >= BATCH_BLOCKS or size >= BATCH_BYTES:
+                    yield _batch(found)
+                    found, size = [], 0
+            if found:
+                yield _batch(found)
+        before += len(docs)
+        numbers.clear()
+        for x in (terms, rows, places, docs):
+            del x[:]
 
     for b in batches:
-        for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-            places: dict[str, list[int]] = {}
-            for i, w in enumerate(words_of(text)):
-                places.setdefault(w, []).append(i)
-                n += 1
-            for w, p in places.items():
-                held.setdefault(w, []).append((doc, row, p))
-            row += 1
-            if n >= SEGMENT_POSTINGS:
+        for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
+            words = words_of(text.as_py())
+            terms.extend([numbers.setdefault(w, len(numbers)) for w in words])
+            places.extend(range(len(words)))
+            rows.extend([len(docs)] * len(words))
+            docs.append(doc)
+            if len(terms) >= SEGMENT_POSTINGS:
                 yield from closed()
-                n = 0
     yield from closed()
 
 

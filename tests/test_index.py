@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +178,21 @@ def test_removal_policies(spark, policy):
     best, value = S.best_sequences(docs, query, spark.createDataFrame([(d,) for d in gold], "doc_id long"), 6, 5, 5, policy)
     assert value == pytest.approx(max(values))
     assert [[t.text for p in q.parts for t in p.terms] for q in best] == want[values.index(max(values))]
+
+
+def test_a_full_segment_takes_less_than_half_a_gigabyte(monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(IX, "TaskContext", Task)
+    texts = [" ".join(f"w{(i * 7919 + j * j) % 5003}" for j in range(500)) for i in range(400)]
+    batches = [pa.record_batch({"doc_id": pa.array([i], pa.int64()), "text": pa.array([t])}) for i, t in enumerate(texts)]
+    tracemalloc.start()
+    try:
+        blocks = sum(len(b) for b in IX._segments(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert blocks == len({w for t in texts for w in t.split()})
+    assert peak / (400 * 500) * IX.SEGMENT_POSTINGS < 1 << 29
