@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quaero.operators import entities as E
 from quaero.operators import phrases as PH
 from quaero.operators import preparation as P
+from quaero.plans import batch as B
 
 
 def test_texts_without_a_first_word_have_no_entity():
@@ -39,3 +40,27 @@ def test_many_occurrences_of_one_text(spark):
     docs = spark.createDataFrame([(1, "a b " * n), (2, None)], "doc_id long, text string")
     found = PH.occurrences(docs, spark.createDataFrame([("a b",), ("b a",)], "phrase string"))
     assert {r.phrase: (r.n, r.last) for r in found.groupBy("phrase").agg(F.count("*").alias("n"), F.max("start").alias("last")).collect()} == {"a b": (n, 2 * n - 2), "b a": (n - 1, 2 * n - 3)}
+
+
+def test_sentences_are_scored_where_they_are_read(spark, monkeypatch):
+    """Only sentences with a rarer word leave their task; the scores are those of the block-wise way, rows that share an id included."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda: " ".join(rng.choice(words[: rng.choice([4, 40])]).upper() + rng.choice([" ", " ", "! ", ". "]) for _ in range(rng.randint(1, 30)))
+    docs = spark.createDataFrame([(i // 2, text()) for i in range(120)] + [(7, None), (None, "w1 w2. w39"), (8, " ... ?"), (9, "\xa0. w3"), (9, "unseen")], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(q, w) for q in range(3) for w in rng.sample(words, 5)] + [(9, "none"), (None, "w1")], "qid long, term string")
+    names = spark.createDataFrame([(w, i % 25, i) for i, w in enumerate(words)], "term string, vec_id long, place long")
+    vectors = B.SharedVectors(names, spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(25)] + [(99, None)], "vec_id long, embedding array<double>"))
+    vocabulary = spark.createDataFrame([(w, 0.1 + i / 50) for i, w in enumerate(words)], "term string, weight double")
+    rows = lambda frame: sorted(((r.qid, -1 if r.doc_id is None else r.doc_id, r.sid, round(r.score, 5)) for r in frame.collect()))
+    monkeypatch.setattr(B, "WORDS_AT_ONCE", 0)
+    want = rows(B.all_sentence_scores(docs, asked, vectors, vocabulary))
+    monkeypatch.setattr(B, "WORDS_AT_ONCE", 256)
+    assert len({r[0] for r in want}) == 4 and len(want) > 400
+    for frequent, together, at_once in ((1 << 18, 1 << 13, 1 << 23), (5, 3, 40), (0, 1, 1)):
+        monkeypatch.setattr(B, "FREQUENT", frequent)
+        monkeypatch.setattr(B, "TOGETHER", together)
+        monkeypatch.setattr(B, "BYTES_AT_ONCE", at_once)
+        found = B.all_sentence_scores(docs, asked, vectors, vocabulary)
+        assert rows(found) == want
+        assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
