@@ -33,41 +33,32 @@ MANY = 16
 LEVELS = 3
 
 
-def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
-    """(start from 1, size) of a segment; the longer ones are the last."""
-    base, more = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    start = base * (number - 1) + F.greatest(F.lit(0), F.lit(number - 1 - parts) + more) + 1
-    return start.cast("int"), (base + F.when(more >= parts - number + 1, 1).otherwise(0)).cast("int")
+def _places(edits: int) -> list[tuple[int, int, int]]:
+    """(shorter, segment, shift) of every substring that a partner as long, or up to ``edits`` shorter, may have as that segment. Those of shift 0 in one as long are a line's own segments."""
+    return [
+        (shorter, i, shift) for shorter in range(edits + 1) for i in range(1, edits + 2)
+        for shift in range(max(1 - i, shorter - (edits + 1 - i)), min(i - 1, shorter + (edits + 1 - i)) + 1)
+    ]
 
 
-def _key(raw: Column, length: Column, number: int, start: Column, size: Column) -> Column:
-    """Key of the segment of ``size`` characters from ``start``: ``raw`` has four bytes for each, so it is cut without reading what stands before."""
-    return F.xxhash64(length, F.lit(number), F.substring(raw, 4 * start - 3, 4 * size))
+def _at_places(rows: DataFrame, places: list[tuple[int, int, int]], edits: int, wanted: Column | None = None) -> DataFrame:
+    """``rows``, which have (raw, n), for each of the places that lie inside the line, with its ``shorter``, ``own``, ``start``, ``size`` and ``cut``, the key of that segment.
 
-
-def entries(raw: Column, n: Column, edits: int) -> Column:
-    """Keys under which a line of n characters stands. ``raw`` (UTF-32) and ``n`` are columns of their own: expressions would be computed again in each key."""
-    return F.array(*(_key(raw, n, i, *_segment(n, i, edits + 1)) for i in range(1, edits + 2)))
-
-
-def _places(n: Column, edits: int) -> list[tuple[int, int, int, Column, Column]]:
-    """(shorter, segment, shift, start, size) of every substring that a partner as long, or up to ``edits`` shorter, may have as that segment."""
-    found = []
-    for shorter in range(edits + 1):
-        for i in range(1, edits + 2):
-            start, size = _segment(n - shorter, i, edits + 1)
-            for shift in range(max(1 - i, shorter - (edits + 1 - i)), min(i - 1, shorter + (edits + 1 - i)) + 1):
-                found.append((shorter, i, shift, (start + shift).cast("int"), size))
-    return found
-
-
-def _inside(n: Column, start: Column, size: Column) -> Column:
-    return (start >= 1) & (start + size - 1 <= n)
-
-
-def lookups(raw: Column, n: Column, edits: int) -> Column:
-    """Keys under which a partner that is as long, or up to ``edits`` shorter, may stand, but for those of ``entries``, the equally long first; null where a place would be outside the line."""
-    return F.array(*(F.when(_inside(n, start, size), _key(raw, n - shorter, i, start, size)) for shorter, i, shift, start, size in _places(n, edits) if shorter or shift))
+    The places are rows of a constant and one short expression makes all keys: an array of a key for each place would be a method too long for the JVM to compile. ``raw`` (UTF-32) has four
+    bytes for each character, so it is cut without reading what stands before; it and ``n`` are columns of their own, else they would be computed for each place.
+    """
+    parts = F.lit(edits + 1)
+    known = F.array(*(F.struct(F.lit(s).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for s, i, shift in places))
+    if wanted is not None:
+        known = F.filter(known, lambda p: p["shorter"] == wanted)
+    at = rows.withColumn("at", F.explode(known)).withColumn("length", F.col("n") - F.col("at.shorter"))
+    at = at.withColumn("more", F.pmod("length", parts)).withColumn("base", ((F.col("length") - F.col("more")) / parts).cast("int"))
+    start = F.col("base") * (F.col("at.i") - 1) + F.greatest(F.lit(0), F.col("at.i") - 1 - parts + F.col("more")) + 1 + F.col("at.shift")
+    at = at.withColumn("start", start.cast("int")).withColumn("size", (F.col("base") + F.when(F.col("more") >= parts - F.col("at.i") + 1, 1).otherwise(0)).cast("int"))
+    key = F.xxhash64("length", "at.i", F.substring("raw", 4 * F.col("start") - 3, 4 * F.col("size")))
+    own = (F.col("at.shorter") == 0) & (F.col("at.shift") == 0)
+    inside = at.where((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")))
+    return inside.select(*rows.columns, F.col("at.shorter").alias("cut_shorter"), own.alias("cut_own"), "start", "size", key.alias("cut"))
 
 
 def _meet(index: DataFrame, asks: DataFrame, deeper: bool) -> DataFrame:
@@ -87,14 +78,12 @@ def _meet(index: DataFrame, asks: DataFrame, deeper: bool) -> DataFrame:
 def _rests(rows: DataFrame, edits: int) -> DataFrame:
     """(id, key, raw, n, shorter, own): each row's line without each of its substrings that may be a partner's segment. Rows have (id, raw, n), and
     from the second level on the key so far, how much shorter the partner is, and whether all cuts so far were the line's own segments."""
-    cuts = F.array(*(F.struct(F.lit(shorter).alias("shorter"), F.lit(not shorter and not shift).alias("own"), start.alias("start"), size.alias("size"), _key(F.col("raw"), F.col("n") - shorter, i, start, size).alias("key")) for shorter, i, shift, start, size in _places(F.col("n"), edits)))
-    cut = rows.withColumn("cut", F.explode(cuts)).where(_inside(F.col("n"), F.col("cut.start"), F.col("cut.size")))
-    if "key" in rows.columns:
-        cut = cut.where("cut.shorter = shorter")
-    before, after = F.substring("raw", F.lit(1), 4 * (F.col("cut.start") - 1)), F.substring("raw", 4 * (F.col("cut.start") + F.col("cut.size")) - 3, F.octet_length("raw"))
-    key = F.xxhash64("key", "cut.key") if "key" in rows.columns else F.col("cut.key")
-    own = F.col("own") & F.col("cut.own") if "key" in rows.columns else F.col("cut.own")
-    return cut.select("id", key.alias("key"), F.concat(before, after).alias("raw"), (F.col("n") - F.col("cut.size")).alias("n"), F.col("cut.shorter").alias("shorter"), own.alias("own"))
+    deeper = "key" in rows.columns
+    cut = _at_places(rows, _places(edits), edits, F.col("shorter") if deeper else None)
+    before, after = F.substring("raw", F.lit(1), 4 * (F.col("start") - 1)), F.substring("raw", 4 * (F.col("start") + F.col("size")) - 3, F.octet_length("raw"))
+    key = F.xxhash64("key", "cut") if deeper else F.col("cut")
+    own = F.col("own") & F.col("cut_own") if deeper else F.col("cut_own")
+    return cut.select("id", key.alias("key"), F.concat(before, after).alias("raw"), (F.col("n") - F.col("size")).alias("n"), F.col("cut_shorter").alias("shorter"), own.alias("own"))
 
 
 def _with_offsets(docs: DataFrame) -> DataFrame:
@@ -125,24 +114,22 @@ def line_places(docs: DataFrame) -> DataFrame:
 def _candidates(long: DataFrame, edits: int) -> DataFrame:
     """(a, z): ids of lines that share a segment, and under a segment of many lines, further segments of what is left of them."""
     sized = long.select("id", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("raw"))
-    # Exploded as expressions: for an array column the optimizer would compute the array once more in a filter, down at the scan.
-    index = sized.select("id", F.explode(entries(F.col("raw"), F.col("n"), edits)).alias("key")).distinct().checkpoint()
-    equally_long = sum(1 for shorter, _, shift, _, _ in _places(F.col("n"), edits) if not shorter and shift)
-    asks = sized.select(F.col("id").alias("asker"), F.posexplode(lookups(F.col("raw"), F.col("n"), edits)).alias("at", "key")).where("key is not null")
-    asks = asks.select("asker", "key", (F.col("at") < equally_long).alias("even"))
+    own = [p for p in _places(edits) if p[0] == p[2] == 0]
+    index = _at_places(sized, own, edits).select("id", F.col("cut").alias("key")).distinct().checkpoint()
+    asks = _at_places(sized, [p for p in _places(edits) if p not in own], edits).select(F.col("id").alias("asker"), F.col("cut").alias("key"), (F.col("cut_shorter") == 0).alias("even"))
     asks = likely_among(asks, F.col("key"), index.select("key"), MAP_BITS).distinct().union(index.select("id", "key", F.lit(True)))
     met = _meet(index, asks, True)
     found = met.where("z is not null").select("a", "z")
-    rows = None
+    cuts = None
     for level in range(1, LEVELS + 1):
         many = met.where("z is null").select(F.col("a").alias("id"), "key")
         if many.isEmpty():
             break
-        if rows is None:
+        if cuts is None:
             ids = many.select("id").distinct()
-            rows = likely_among(sized, F.col("id"), ids).join(ids, "id").distinct()
-        rows = _rests(rows, edits).join(many, ["id", "key"]).checkpoint()
-        keys = _rests(rows, edits).select("id", "key", "shorter", "own")
+            cuts = _rests(likely_among(sized, F.col("id"), ids).join(ids, "id").distinct(), edits)
+        cuts = _rests(cuts.join(many, ["id", "key"]), edits).checkpoint()  # read several times, made once
+        keys = cuts.select("id", "key", "shorter", "own")
         met = _meet(keys.where("own").select("id", "key").distinct(), keys.select(F.col("id").alias("asker"), "key", (F.col("shorter") == 0).alias("even")).distinct(), level < LEVELS)
         found = found.union(met.where("z is not null").select("a", "z"))
     return found.distinct().checkpoint()

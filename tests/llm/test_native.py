@@ -317,3 +317,23 @@ def test_lines_of_a_template(spark, monkeypatch):
     got = {(chosen[r.a], chosen[r.z]) for r in E.near_pairs(df).collect()}
     assert want and got == want
     assert len(met) == 1 + E.LEVELS and not met[-2].where("z is null").isEmpty()
+
+
+def test_cuts_are_made_once_for_each_level(spark, monkeypatch):
+    """The cuts of lines under a frequent segment are read several times and made once: what a level meets comes from stored rows."""
+    lines = [("x" * 20) + f"{i:03d}" + ("y" * 20) + f"{i * 7 % 100:02d}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    monkeypatch.setattr(E, "MANY", 8)
+    deeper, real = [], E._meet
+    monkeypatch.setattr(E, "_meet", lambda index, asks, more: deeper.append(index._jdf.queryExecution().analyzed().toString()) or real(index, asks, more))
+    got = {(r.a, r.z) for r in E.near_pairs(df).collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if distance(lines[i], lines[j]) <= 2}
+    assert len(deeper) > 1 and not any("Generate" in plan for plan in deeper)
+
+
+def test_keys_of_lines_are_one_short_expression(spark):
+    """All look-ups of a line share one expression, and words of map bits are read as numbers."""
+    rows = spark.createDataFrame([(1, 20, b"\0" * 80)], "id long, n int, raw binary")
+    found = E._at_places(rows, E._places(2), 2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") <= 2
+    assert found.where("cut_own").select("start", "size").orderBy("start").collect() == [(1, 6), (7, 7), (14, 7)]
