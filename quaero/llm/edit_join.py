@@ -61,16 +61,20 @@ def _at_places(rows: DataFrame, places: list[tuple[int, int, int]], edits: int,
     return inside.select(*rows.columns, F.col("at.shorter").alias("cut_shorter"), own.alias("cut_own"), "start", "size", key.alias("cut"))
 
 
-def _meet(index: DataFrame, asks: DataFrame, deeper: bool) -> DataFrame:
+def _meet(index: DataFrame, asks: DataFrame, deeper: bool, edits: int | None = None) -> DataFrame:
     """Checkpointed (a, z, key): pairs of ids that meet under a key, or, for a key of many lines, each asker a with the key and no z.
 
     A key of many lines is told from a quarter of the lines, chosen by hash; where that misses one, it costs pairs and no result. Its lines are
-    not paired: one of them, ``rep``, stands for it. Of two equally long lines, which would find each other, the larger id asks.
+    not paired: one of them, ``rep``, stands for it. Of two equally long lines, which would find each other, the larger id asks. If rows bring what their
+    lines have beside the key (``rest``), lines meet only if these are within ``edits`` edits: near lines are so under one key at least, and only near ones are so under any.
     """
     part = index.where(F.pmod(F.xxhash64("id"), F.lit(4)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
     hot = part.where(F.col("n") >= (MANY // 4 if deeper else 1 << 62)).select("key", "rep")
     stands = index.join(hot, "key", "left").where("rep is null or rep = id")
-    met = stands.join(asks, "key").where("rep is not null or id < asker or (id > asker and not even)")
+    pair = (F.col("id") < F.col("asker")) | ((F.col("id") > F.col("asker")) & ~F.col("even"))
+    if edits is not None:
+        pair &= F.levenshtein("rest", "asked", edits) >= 0
+    met = stands.join(asks, "key").where(F.col("rep").isNotNull() | pair)
     own = F.col("rep").isNotNull()
     return met.select(F.when(own, F.col("asker")).otherwise(F.least("id", "asker")).alias("a"), F.when(~own, F.greatest("id", "asker")).alias("z"), F.when(own, F.col("key")).alias("key")).distinct().checkpoint()
 
@@ -129,8 +133,10 @@ def _candidates(long: DataFrame, edits: int) -> DataFrame:
             ids = many.select("id").distinct()
             cuts = _rests(likely_among(sized, F.col("id"), ids).join(ids, "id").distinct(), edits)
         cuts = _rests(cuts.join(many, ["id", "key"]), edits).checkpoint()  # read several times, made once
-        keys = cuts.select("id", "key", "shorter", "own")
-        met = _meet(keys.where("own").select("id", "key").distinct(), keys.select(F.col("id").alias("asker"), "key", (F.col("shorter") == 0).alias("even")).distinct(), level < LEVELS)
+        # A character before the rest, as decoding would take a byte order mark from its begin.
+        keys = cuts.select("id", "key", "shorter", "own", F.decode(F.concat(F.encode(F.lit("x"), "UTF-32"), "raw"), "UTF-32").alias("rest"))
+        asks = keys.select(F.col("id").alias("asker"), "key", (F.col("shorter") == 0).alias("even"), F.col("rest").alias("asked")).distinct()
+        met = _meet(keys.where("own").select("id", "key", "rest").distinct(), asks, level < LEVELS, edits)
         found = found.union(met.where("z is not null").select("a", "z"))
     return found.distinct().checkpoint()
 

@@ -325,10 +325,18 @@ def test_cuts_are_made_once_for_each_level(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
     monkeypatch.setattr(E, "MANY", 8)
     deeper, real = [], E._meet
-    monkeypatch.setattr(E, "_meet", lambda index, asks, more: deeper.append(index._jdf.queryExecution().analyzed().toString()) or real(index, asks, more))
+    met = []
+
+    def meet(index, asks, *more):
+        deeper.append(index._jdf.queryExecution().analyzed().toString())
+        met.append(real(index, asks, *more))
+        return met[-1]
+
+    monkeypatch.setattr(E, "_meet", meet)
     got = {(r.a, r.z) for r in E.near_pairs(df).collect()}
     assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if distance(lines[i], lines[j]) <= 2}
     assert len(deeper) > 1 and not any("Generate" in plan for plan in deeper)
+    assert all({(r.a, r.z) for r in m.where("z is not null").collect()} <= got for m in met[1:])  # only near lines meet where many share a key
 
 
 def test_keys_of_lines_are_one_short_expression(spark):
