@@ -6,8 +6,8 @@ length that a partner may have, under the few substrings at which such a segment
 on both sides. Candidates are compared by their whole texts with the built-in banded edit distance, a native expression.
 
 Lines of one key may be very many (a template, a common third) and are not paired then. What two of them have beside that segment is within
-``edits`` edits too, so it is cut into segments again, under the key so far; the same is done with keys of many lines found there, LEVELS times,
-after which two lines that meet have four fifths of their characters in common.
+``edits`` edits too: up to COMPARED lines or so are compared by it inside the join, which passes on near ones only. Of more lines it is cut into segments
+again, under the key so far; the same is done with keys of so many lines found there. At the last of LEVELS, two lines that meet have four fifths of their characters in common.
 
 A line is removed if it occurred before, or if an earlier different line (by id, then line number) is within ``edits`` edits of it.
 Lines are known by 64-bit hashes (two different lines share one with a chance of 2^-64 for each pair); near lines are decided by their texts. A line
@@ -28,9 +28,11 @@ EDITS = 2
 LEAST = 16
 #: Bits of each of the three maps of keys that are broadcast: 12 MB in all, whatever the input.
 MAP_BITS = 1 << 25
-#: Lines under one key, about, from which on they are told apart by further segments, and how often that is done.
-MANY = 16
-LEVELS = 3
+#: From about MANY lines under one key on, these are not paired by their ids but compared by what they have beside it, from COMPARED times as many on
+#: they are told apart by further segments first; LEVELS is how often lines meet so.
+MANY = 24
+COMPARED = 2
+LEVELS = 4
 
 
 def _places(edits: int) -> list[tuple[int, int, int]]:
@@ -61,15 +63,15 @@ def _at_places(rows: DataFrame, places: list[tuple[int, int, int]], edits: int,
     return inside.select(*rows.columns, F.col("at.shorter").alias("cut_shorter"), own.alias("cut_own"), "start", "size", key.alias("cut"))
 
 
-def _meet(index: DataFrame, asks: DataFrame, deeper: bool, edits: int | None = None) -> DataFrame:
-    """Checkpointed (a, z, key): pairs of ids that meet under a key, or, for a key of many lines, each asker a with the key and no z.
+def _meet(index: DataFrame, asks: DataFrame, many: int | None, edits: int | None = None) -> DataFrame:
+    """Checkpointed (a, z, key): pairs of ids that meet under a key, or, for a key of about ``many`` lines (None: of none), each asker a with the key and no z.
 
     A key of many lines is told from a quarter of the lines, chosen by hash; where that misses one, it costs pairs and no result. Its lines are
     not paired: one of them, ``rep``, stands for it. Of two equally long lines, which would find each other, the larger id asks. If rows bring what their
     lines have beside the key (``rest``), lines meet only if these are within ``edits`` edits: near lines are so under one key at least, and only near ones are so under any.
     """
     part = index.where(F.pmod(F.xxhash64("id"), F.lit(4)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
-    hot = part.where(F.col("n") >= (MANY // 4 if deeper else 1 << 62)).select("key", "rep")
+    hot = part.where(F.col("n") >= (max(many // 4, 1) if many else 1 << 62)).select("key", "rep")
     stands = index.join(hot, "key", "left").where("rep is null or rep = id")
     pair = (F.col("id") < F.col("asker")) | ((F.col("id") > F.col("asker")) & ~F.col("even"))
     if edits is not None:
@@ -122,21 +124,22 @@ def _candidates(long: DataFrame, edits: int) -> DataFrame:
     index = _at_places(sized, own, edits).select("id", F.col("cut").alias("key")).distinct().checkpoint()
     asks = _at_places(sized, [p for p in _places(edits) if p not in own], edits).select(F.col("id").alias("asker"), F.col("cut").alias("key"), (F.col("cut_shorter") == 0).alias("even"))
     asks = likely_among(asks, F.col("key"), index.select("key"), MAP_BITS).distinct().union(index.select("id", "key", F.lit(True)))
-    met = _meet(index, asks, True)
+    met = _meet(index, asks, MANY)
     found = met.where("z is not null").select("a", "z")
     cuts = None
     for level in range(1, LEVELS + 1):
         many = met.where("z is null").select(F.col("a").alias("id"), "key")
         if many.isEmpty():
             break
-        if cuts is None:
+        if cuts is None:  # cuts are read several times and made once
             ids = many.select("id").distinct()
-            cuts = _rests(likely_among(sized, F.col("id"), ids).join(ids, "id").distinct(), edits)
-        cuts = _rests(cuts.join(many, ["id", "key"]), edits).checkpoint()  # read several times, made once
+            cuts = _rests(likely_among(sized, F.col("id"), ids).join(ids, "id").distinct(), edits).join(many, ["id", "key"]).checkpoint()
+        else:
+            cuts = _rests(cuts.join(many, ["id", "key"]), edits).checkpoint()
         # A character before the rest, as decoding would take a byte order mark from its begin.
         keys = cuts.select("id", "key", "shorter", "own", F.decode(F.concat(F.encode(F.lit("x"), "UTF-32"), "raw"), "UTF-32").alias("rest"))
         asks = keys.select(F.col("id").alias("asker"), "key", (F.col("shorter") == 0).alias("even"), F.col("rest").alias("asked")).distinct()
-        met = _meet(keys.where("own").select("id", "key", "rest").distinct(), asks, level < LEVELS, edits)
+        met = _meet(keys.where("own").select("id", "key", "rest").distinct(), asks, COMPARED * MANY if level < LEVELS else None, edits)
         found = found.union(met.where("z is not null").select("a", "z"))
     return found.distinct().checkpoint()
 

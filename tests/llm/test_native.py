@@ -339,6 +339,23 @@ def test_cuts_are_made_once_for_each_level(spark, monkeypatch):
     assert all({(r.a, r.z) for r in m.where("z is not null").collect()} <= got for m in met[1:])  # only near lines meet where many share a key
 
 
+def test_lines_of_a_segment_are_compared_before_they_are_cut_on(spark, monkeypatch):
+    """Lines under a frequent segment meet by what they have beside it; further cuts, several rows for each line, are made only where these are very many."""
+    import random
+
+    rng = random.Random(9)
+    lines = ["a common head of all these lines, " + "".join(rng.choice("bcdefgh") for _ in range(60)) for _ in range(22)]
+    lines += [lines[0][:-1] + "z", lines[1][:50] + "y" + lines[1][50:], lines[2][:60] + lines[2][62:]]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    monkeypatch.setattr(E, "MANY", 16)
+    wanted, real, met, meet = [], E._at_places, [], E._meet
+    monkeypatch.setattr(E, "_at_places", lambda rows, places, edits, only=None: wanted.append(only is not None) or real(rows, places, edits, only))
+    monkeypatch.setattr(E, "_meet", lambda *a: met.append(meet(*a)) or met[-1])
+    got = {(r.a, r.z) for r in E.near_pairs(df).collect()}
+    assert got == {(i, j) for i in range(25) for j in range(i + 1, 25) if distance(lines[i], lines[j]) <= 2} and len(got) == 3
+    assert len(met) == 2 and not met[0].where("z is null").isEmpty() and not any(wanted)
+
+
 def test_keys_of_lines_are_one_short_expression(spark):
     """All look-ups of a line share one expression, and words of map bits are read as numbers."""
     rows = spark.createDataFrame([(1, 20, b"\0" * 80)], "id long, n int, raw binary")
