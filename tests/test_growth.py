@@ -1,12 +1,16 @@
 """Steps that were rewritten to grow no faster than their input."""
 
 import random
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from quaero.functions.text import STOP_WORDS
 from quaero.operators import entities as E
 from quaero.operators import phrases as PH
 from quaero.operators import preparation as P
+from quaero.operators import vocabulary as VOC
 from quaero.plans import batch as B
 
 
@@ -64,3 +68,26 @@ def test_sentences_are_scored_where_they_are_read(spark, monkeypatch):
         found = B.all_sentence_scores(docs, asked, vectors, vocabulary)
         assert rows(found) == want
         assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_ngrams_are_counted_in_parts_of_bounded_text(spark, monkeypatch):
+    """The text that one task counts is bounded, whatever partitions the documents come in, copies of one text too."""
+    rng = random.Random(6)
+    words = ["the", "of", "Été", "p53", "a_b", "gene", "x", "ΑΣ", "not"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(150)] + [None, "", " .", "gene", "gene x"] + ["gene p53 x"] * 300
+    docs = spark.createDataFrame([(i, t, {"k": "v"}) for i, t in enumerate(texts)], "doc_id long, text string, more map<string,string>").coalesce(1)
+    assert max(len((t or "").encode()) for t in texts) < 1000
+    monkeypatch.setattr(VOC, "PART", 1000, raising=False)
+    for n in (1, 2, 3):
+        want: Counter = Counter()
+        for t in texts:
+            w = re.findall(r"[^\W_]+", (t or "").lower().replace("ς", "σ"))
+            want.update(" ".join(w[i : i + n]) for i in range(len(w) - n + 1) if not set(w[i : i + n]) & set(STOP_WORDS))
+        found = VOC.ngram_counts(docs, n, 3)
+        assert {r.ngram.replace("ς", "σ"): r.freq for r in found.collect()} == {k: v for k, v in want.items() if v >= 3}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        size = sum(len((t or "").encode()) for t in texts)
+        assert f", {size // 1000 + 1}), REPARTITION_BY_NUM" in plan and "arrays_overlap" not in plan
+    parts = VOC.in_parts(docs, "text", 1000).groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert max(r.n for r in parts if r.n) < 5000
+    assert VOC.ngram_counts(docs.where("false"), 2, 3).collect() == []
