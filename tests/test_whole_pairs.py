@@ -1,6 +1,7 @@
 """Queries that compare all with all, against brute force: whole results from bounded pieces."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from quaero import queries as Q
 from quaero.functions import vectors as V
 from quaero.operators import ranking as R
+from quaero.plans import batch as B
 
 
 def test_sets_travel_as_bits_to_few_blocks(spark, tmp_path, monkeypatch):
@@ -67,3 +69,28 @@ def test_every_vector_is_a_probe(spark, tmp_path, monkeypatch, kind):
     for k in (3, 300):
         got = sorted(((r.probe, r["rank"], r.vec_id, r.cos) for r in R.top_similar(table, table, k).collect()))
         assert got == [(i, n, j, c) for i, _, _ in sorted(rows, key=lambda r: r[0]) for n, (c, j, _) in enumerate(nearest(rows, i, k), 1)]
+
+
+def test_best_sentences_of_every_question(spark, tmp_path, monkeypatch):
+    """Not only ids divisible by 100; in runs of words, blocks of questions and with sentences that leave their task, as the scores of all sentences say."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda: " ".join(rng.choice(words[: rng.choice([4, 40])]).upper() + rng.choice([" ", " ", "! ", ". "]) for _ in range(rng.randint(1, 30)))
+    docs = [(i, text()) for i in range(120)] + [(120, None), (121, " ... ?"), (122, "\xa0. w3"), (123, "unseen")] + [(i, "w1 w2. w39") for i in range(200, 230)]
+    items = [(0, "w1 w7 w30 none"), (1, "w2 W2 w39"), (57, "w3. w3 w14 w15 w9 w26"), (100, "nothing known"), (101, ""), (102, None), (103, " ".join(words))]
+    put = lambda rows, schema, name: spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    put(docs, "doc_id long, text string", "documents")
+    put(items, "item_id long, text string", "benchmark")
+    put([(i, [rng.uniform(-1, 1) for _ in range(6)], 0) for i in range(25)], "vec_id long, embedding array<double>, label int", "embeddings")
+    monkeypatch.setattr(Q, "EVERY", 1)
+    scores = {}
+    for r in Q.rwmd_score(spark, str(tmp_path)).collect():
+        scores.setdefault(r.qid, []).append((-r.score, r.doc_id, r.sid))
+    monkeypatch.setattr(Q, "EVERY", 100)
+    want = {(q, d, s, n) for q, rows in scores.items() for n, (_, d, s) in enumerate(sorted(rows)[:10], 1)}
+    assert {q for q, *_ in want} == {0, 1, 57, 100, 103} and len(want) == 50
+    for settings in ({}, {"FREQUENT": 5, "TOGETHER": 3, "BYTES_AT_ONCE": 40, "WORDS_TOGETHER": 7, "NUMBERS": 1000}, {"FREQUENT": 0, "TOGETHER": 1, "BYTES_AT_ONCE": 1, "QUESTIONS_AT_ONCE": 2}):
+        for name, value in settings.items():
+            monkeypatch.setattr(B, name, value, raising=False)
+        rows = [tuple(r) for r in Q.rwmd_rank(spark, str(tmp_path)).collect()]
+        assert len(rows) == len(want) and set(rows) == want
